@@ -53,9 +53,12 @@ def plan_bytes(df: DataFrame) -> int:
 
 def task_count(source: DataFrame, per_task: int = TASK_BYTES) -> int:
     """Partitions for an explicit shuffle of ``source``'s rows: by its bytes,
-    and no fewer than the session's cores. It grows with the input."""
-    size = min(plan_bytes(source), 1 << 50)
-    return max(source.sparkSession.sparkContext.defaultParallelism, -(-size // per_task))
+    and no fewer than the session's cores. It grows with the input. Where
+    Catalyst has no estimate (rows made on the driver), the session's number of
+    shuffle partitions counts."""
+    spark, size = source.sparkSession, plan_bytes(source)
+    known = -(-size // per_task) if size < 1 << 56 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, known)
 
 
 def pick(df: DataFrame, **types: str) -> DataFrame:

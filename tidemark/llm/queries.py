@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles, tokens
+from . import chat, decontam, media, oracles, tokens
 
 #: The public tokenizer of the token-ID output; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -27,12 +27,31 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.media_columns(table(spark, sf_dir, "documents")))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontam.build_index(table(spark, sf_dir, "documents"))
+    return decontam.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = tokens.encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path())
     return tokens.read_back(tokens.bases(parts))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_format": op3_chat_format,
+    "op4_media_columns": op4_media_columns,
+    "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
 

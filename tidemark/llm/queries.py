@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontam, media, oracles, tokens
+from . import chat, decontam, langid, media, oracles, quality, tokens
 
 #: The public tokenizer of the token-ID output; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +39,23 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def fold(of: int) -> Column:
+    """crc32 of doc_id's decimal digits, modulo ``of``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold(5) != 0))
+    return langid.predict(docs, model).withColumn("held_out", fold(5) == 0).select("doc_id", "held_out", "lang_pred", "score", "bits", "accepted")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(fold(3) != 1))
+    return quality.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontam.build_index(table(spark, sf_dir, "documents"))
     return decontam.search(index, table(spark, sf_dir, "benchmark"))
@@ -51,6 +69,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_media_columns": op4_media_columns,
+    "op6_language_id": op6_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }

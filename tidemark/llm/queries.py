@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, oracles, quality, tokens
+from . import chat, decontam, langid, media, oracles, quality, secret_scan, tokens
 
 #: The public tokenizer of the token-ID output; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -50,6 +50,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", fold(5) == 0).select("doc_id", "held_out", "lang_pred", "score", "bits", "accepted")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(fold(3) != 1))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_media_columns": op4_media_columns,
     "op6_language_id": op6_language_id,
+    "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, oracles, quality, secret_scan, tokens
+from . import chat, decontam, langid, media, mixing, oracles, quality, secret_scan, tokens
 
 #: The public tokenizer of the token-ID output; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,13 @@ def fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mix = mixing.plan(docs)
+    used = mixing.realise(docs.select("doc_id", "source"), mix)
+    return used.select("doc_id", "source", "epoch", "position")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold(5) != 0))
@@ -73,6 +80,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_media_columns": op4_media_columns,
+    "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,

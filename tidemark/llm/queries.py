@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, oracles, quality, secret_scan, suffix_dedup, tokens
+from . import chat, decontam, langid, media, mixing, near_dedup, oracles, quality, secret_scan, suffix_dedup, tokens
 
 #: The public tokenizer of the token-ID output; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.cut(table(spark, sf_dir, "documents")))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
@@ -83,6 +88,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_media_columns": op4_media_columns,
     "op5_source_mixing": op5_source_mixing,

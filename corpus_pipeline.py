@@ -1,5 +1,64 @@
-"""Corpus pipeline (filled in below)."""
+"""Corpus pipeline: documents to mixed token files.
+
+``STAGES`` are (name, function) pairs. A function takes (spark, docs, sf_dir)
+and returns a DataFrame, which is written as Parquet and read again as the next
+one's ``docs``. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontam, mixing, near_dedup, quality, tokens
+from tidemark.llm.common import stored
+from tidemark.llm.queries import table, tokenizer_path
+
+#: No SQL expresses the classifier; the stages are tested against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from labels, accepts."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8)."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of the benchmark. Rows are matched by a
+    hash of id and text, so null and repeated ids are judged row by row."""
+    key = F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("text"))
+    index = decontam.build_index(docs.select(key.alias("doc_id"), "text"))
+    hit = stored(decontam.search(index, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "hit")
+    return docs.withColumn("__key", key).join(hit, "__key", "left_anti").select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's weight asks, once at least."""
+    return mixing.realise(docs, mixing.plan(docs)).select(*docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, and what they hold of each document."""
+    return tokens.read_back(tokens.bases(tokens.encode_to_files(docs, tokenizer_path())))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("token_files", token_files),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each one's result stored for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

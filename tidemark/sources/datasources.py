@@ -144,6 +144,8 @@ SOURCES = {"wire_log": (LOG_SCHEMA, _LogReader), "wire_batches": (TABLE_SCHEMA,
 
 
 def register(spark: SparkSession) -> None:
+    """Make the sources known, and let Spark hand key filters to them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for label, (ddl, reader) in SOURCES.items():
         spark.dataSource.register(_source(label, ddl, reader))
 

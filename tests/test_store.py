@@ -89,11 +89,11 @@ def test_compaction_keeps_answers(spark, path):
         assert [db.get(b"k", s) for s in (s1, s2, None)] == before == [b"original", None, b"newest"]
         db.release(s1)
         db.release(s2)
-        db.put(b"n", b"2")
+        db.put(b"l", b"2")
         db.compact_range()
         db.flush()
         db.compact_range()
-        assert db.get(b"m") is None and contents(db) == {b"k": b"newest", b"n": b"2"}
+        assert db.get(b"m") is None and contents(db) == {b"k": b"newest", b"l": b"2"}
         rows = sum(r.num_entries for r in db.version.runs.values())
         assert rows <= 3
         sizes = db.approximate_sizes([(b"", b"zz"), (b"z", b"a"), (b"k", b"k")])

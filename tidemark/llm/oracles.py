@@ -1,3 +1,21 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op9_decontamination": f"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+     win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS p
+             FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) t(i) WHERE len(w) > 0),
+     d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+     spots AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p
+            FROM d, (SELECT DISTINCT n FROM win) s, unnest(range(1, greatest(len(w) - n + 2, 1))) t(i)),
+     hit AS (SELECT doc_id, i, spots.n, item_id FROM spots JOIN win ON spots.p = win.p AND spots.n = win.n),
+     words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM hit, unnest(range(i, i + n)) t(j) GROUP BY doc_id),
+     items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+               FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) x GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+}

@@ -78,7 +78,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontam.build_index(table(spark, sf_dir, "documents"))
-    return decontam.search(index, table(spark, sf_dir, "benchmark"))
+    return decontam.search(index, table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,13 +37,32 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back, so
-    that a lost executor costs a re-read and never a re-computation."""
+    that a lost executor costs a re-read and never a re-computation. Once the
+    table is written nothing needs the shuffle files behind it; Spark is told
+    to drop them at the end of the write."""
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -45,13 +45,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mixed, pick, stored, text_bytes
+from .common import blocks, forget, mixed, pick, stored, text_bytes
 
 LENGTH = 400
 GRAM = 32
 BLOCK = 32
 #: Different blocks of one core beyond which the core is dealt as half blocks.
 HOT = 2_000
+#: Text bytes parsed at once; a parse takes about 60 times as much memory.
+PARSE_BYTES = 2 << 20
 
 REGIONS = "key long, name long, region long, low int, width int, again boolean"
 BLOCKS = "key long, core long, region long, left binary, right binary, n int, starts array<int>"
@@ -104,7 +106,7 @@ def _signed(x: list[int]) -> np.ndarray:
 
 def find_regions(docs: DataFrame, length: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, most=PARSE_BYTES):
             p = Parsed(block.column("text"), length)
             view = memoryview(np.ascontiguousarray(p.data))
             region, again = [], []
@@ -136,7 +138,7 @@ def find_blocks(docs: DataFrame, length: int, block: int) -> DataFrame:
     block of a document, with the first windows at which it stands."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
+        for part in blocks(batches, most=PARSE_BYTES):
             p = Parsed(part.column("text"), length)
             view = memoryview(np.ascontiguousarray(p.data))
             wanted = set()
@@ -272,10 +274,11 @@ def repeated_windows(cores: np.ndarray, lefts: list[bytes], rights: list[bytes],
 
 
 def judge_blocks(found: DataFrame, block: int, hot: int = HOT) -> DataFrame:
-    """(core, left, right, shifts): repeated windows of each distinct block."""
-    distinct = found.groupBy("core", "left", "right").agg(F.sum("n").alias("n"))
-    # the block as first dealt, and how its windows are shifted in it
-    rows = stored(distinct.select(F.col("core").alias("core0"), F.col("left").alias("left0"), F.col("right").alias("right0"), "core", "left", "right", F.col("n").cast("long"), F.lit(block).alias("size"), F.lit(0).alias("shift")), "blocks")
+    """(region, ranges): repeated windows of each distinct block, as ranges of
+    shifts. ``found`` has region, core, left, right, n."""
+    distinct = found.groupBy("region", "core", "left", "right").agg(F.sum("n").alias("n"))
+    # of the block as first dealt: its region, and how its windows are shifted
+    rows = stored(distinct.select("region", "core", "left", "right", F.col("n").cast("long"), F.lit(block).alias("size"), F.lit(0).alias("shift")), "blocks")
     marks = None
     while True:
         # halves of different blocks may be equal: they stand once, with all their uses
@@ -283,14 +286,15 @@ def judge_blocks(found: DataFrame, block: int, hot: int = HOT) -> DataFrame:
         crowd = stored(texts.groupBy("core").agg(F.count("*").alias("rows"), F.max("n").alias("most")).where("rows > 1 or most > 1"), "crowd")
         last = block == 1 or crowd.where(F.col("rows") > hot).isEmpty()
         few = texts.join((crowd if last else crowd.where(F.col("rows") <= hot)).select("core"), "core")
-        judged = stored(few.repartition("core").sortWithinPartitions("core").mapInArrow(_marks, "core long, left binary, right binary, shifts array<int>"), "judged")
-        back = rows.join(judged, ["core", "left", "right"]).select("core0", "left0", "right0", F.transform("shifts", lambda j: j + F.col("shift")).alias("shifts"))
+        judged = stored(few.repartition("core").sortWithinPartitions("core").mapInArrow(_marks, "core long, left binary, right binary, ranges array<struct<low:int,high:int>>"), "judged")
+        moved = F.transform("ranges", lambda r: F.struct((r["low"] + F.col("shift")).alias("low"), (r["high"] + F.col("shift")).alias("high")))
+        back = stored(rows.join(judged, ["core", "left", "right"]).select("region", moved.alias("ranges")), "marks")
         marks = back if marks is None else marks.unionByName(back)
+        halves = None if last else stored(rows.join(crowd.where(F.col("rows") > hot).select("core"), "core").select(*rows.columns).mapInArrow(_halves, rows.schema), "halves")
+        forget(rows, texts, crowd, judged)
         if last:
-            break
-        block //= 2
-        rows = stored(rows.join(crowd.where(F.col("rows") > hot).select("core"), "core").select(*rows.columns).mapInArrow(_halves, rows.schema), "halves")
-    return marks.groupBy("core0", "left0", "right0").agg(F.array_distinct(F.flatten(F.collect_list("shifts"))).alias("shifts"))
+            return marks.groupBy("region").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+        rows, block = halves, block // 2
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +323,7 @@ INDEX_ROWS = 20_000
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct blocks, sorted by core -> the repeated windows of each."""
 
-    schema = pa.schema([("core", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("shifts", pa.list_(pa.int32()))])
+    schema = pa.schema([("core", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("ranges", pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))])
 
     def judged(rows: list[dict]) -> pa.RecordBatch:
         got = repeated_windows(np.array([x["core"] for x in rows]), [x["left"] for x in rows], [x["right"] for x in rows], np.array([x["size"] for x in rows]))
@@ -328,7 +332,9 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x["n"] > 1:  # the block itself stands twice
                 shifts = np.arange(max(0, x["size"] - 1 - len(x["right"])), len(x["left"]) + 1)
             if len(shifts):
-                out.append({"core": x["core"], "left": x["left"], "right": x["right"], "shifts": shifts.tolist()})
+                cut = np.flatnonzero(np.diff(shifts) > 1)
+                ends = zip(shifts[np.append(0, cut + 1)].tolist(), shifts[np.append(cut, len(shifts) - 1)].tolist(), strict=True)
+                out.append({"core": x["core"], "left": x["left"], "right": x["right"], "ranges": [{"low": a, "high": b} for a, b in ends]})
         return pa.RecordBatch.from_pylist(out, schema=schema)
 
     rows: list[dict] = []
@@ -356,12 +362,16 @@ def mark(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot: int = H
     span = F.struct(F.col("low").alias("start"), (F.col("low") + F.col("width") + length).alias("stop"))
     work = work.groupBy("key").agg(F.collect_list(F.when(F.col("whole"), span)).alias("spans"), F.collect_set(F.when(border, F.struct("low", "width"))).alias("borders"))
     work = stored(work, "work")
-    found = stored(find_blocks(docs.join(work.where(F.size("borders") > 0).select("key", "borders"), "key"), length, block), "found")
-    shifts = stored(judge_blocks(found, block, hot), "shifts")
-    match = (F.col("core") == F.col("core0")) & (F.col("left") == F.col("left0")) & (F.col("right") == F.col("right0"))
-    windows = found.select("key", "core", "left", "right", F.explode("starts").alias("at")).join(shifts, match).select("key", F.explode(F.transform("shifts", lambda j: F.struct((F.col("at") - j).alias("start"), (F.col("at") - j + length).alias("stop")))).alias("span"))
-    marked = windows.unionByName(work.select("key", F.explode("spans").alias("span")))
-    return marked.groupBy("key").agg(F.collect_set("span").alias("spans"))
+    forget(regions, verdict)
+    raw = stored(find_blocks(docs.join(work.where(F.size("borders") > 0).select("key", "borders"), "key"), length, block), "found")
+    shared = stored(raw.groupBy("core").agg(F.sum("n").alias("uses")).where("uses > 1").select("core"), "cores")
+    found = stored(raw.join(shared, "core").select(*raw.columns), "shared")
+    forget(raw, shared)
+    ranges = stored(judge_blocks(found, block, hot), "ranges")
+    # a window that starts j bytes before the core
+    spans = F.flatten(F.transform("starts", lambda at: F.transform("ranges", lambda r: F.struct((at - r["high"]).alias("start"), (at - r["low"] + length).alias("stop")))))
+    windows = found.select("key", "region", "starts").join(ranges, "region").select("key", spans.alias("spans"))
+    return windows.unionByName(work.where(F.size("spans") > 0).select("key", "spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def cut(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot: int = HOT) -> DataFrame:
@@ -377,7 +387,7 @@ def cut(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot: int = HO
                 kept, gone, at, runs = [], [], 0, 0
                 if spans.is_valid:
                     s = spans.values
-                    for a, b in sorted(zip(s.field("start").to_pylist(), s.field("stop").to_pylist(), strict=True)):
+                    for a, b in sorted(set(zip(s.field("start").to_pylist(), s.field("stop").to_pylist(), strict=True))):
                         if gone and a <= gone[-1][1]:
                             gone[-1][1] = max(gone[-1][1], b)
                         else:

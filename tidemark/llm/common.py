@@ -106,6 +106,15 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch from now on: for operators that
+    hand whole texts to Python and back, where a batch of Spark's 10,000 rows
+    is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts (null: empty) one after another, and n+1 offsets."""
     texts = pc.fill_null(texts, "")

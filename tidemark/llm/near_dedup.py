@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, blocks, mixed, pick, stored
+from .common import Words, blocks, forget, mixed, pick, stored
 from .graph import components
 
 WORDS = 5
@@ -119,13 +119,15 @@ def table_members(classes: DataFrame) -> DataFrame:
     own = bands.join(shared, "band").groupBy("set_id").agg(F.first("n").alias("n"), F.collect_set(F.when(F.col("side") == 0, F.col("band"))).alias("a"), F.collect_set(F.when(F.col("side") == 1, F.col("band"))).alias("b"))
     # at most hashes * hashes keys a class
     keys = stored(own.select("set_id", "n", F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))).alias("table")), "tables")
-    full = stored(keys.groupBy("table").agg(F.count("*").alias("members"), F.min("set_id").alias("centre")).where("members > 1"), "buckets")
-    return stored(keys.join(full.select("table", "centre"), "table"), "members")
+    full = stored(keys.groupBy("table").agg(F.count("*").alias("members"), F.min("set_id").alias("centre")).where("members > 1").select("table", "centre"), "buckets")
+    members = stored(keys.join(full, "table"), "members")
+    forget(bands, shared, keys, full)
+    return members
 
 
 def build_sets(rows: DataFrame, classes: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """(set_id, shingles) of the classes that share a key, from the text of one
-    document each."""
+    document each; repeated rows of that document repeat the set."""
     wanted = members.select("set_id").distinct().join(classes.select("set_id", F.col("sample").alias("key")), "set_id")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +136,7 @@ def build_sets(rows: DataFrame, classes: DataFrame, members: DataFrame, k: int)
             yield pa.RecordBatch.from_arrays([block.column("set_id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["set_id", "shingles"])
 
     texts = rows.select("key", "text").join(wanted, "key").select("set_id", "text")
-    return stored(texts.mapInArrow(made, "set_id long, shingles binary"), "sets").dropDuplicates(["set_id"])
+    return stored(texts.mapInArrow(made, "set_id long, shingles binary"), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -160,7 +162,6 @@ def link(rows: DataFrame, classes: DataFrame, k: int, similarity: int) -> DataFr
     """(node, root) of classes that are linked with a smaller one."""
     members = table_members(classes)
     sets = build_sets(rows, classes, members, k)
-    sets = stored(sets, "distinct_sets")
     can = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * similarity
 
     # the centre that a class shares most tables with
@@ -168,34 +169,39 @@ def link(rows: DataFrame, classes: DataFrame, k: int, similarity: int) -> DataFr
     votes = members.where("set_id <> centre").groupBy("set_id", "centre").agg(F.count("*").alias("tables"), F.first("n").alias("n")).join(sizes, "centre").where(can(F.col("n"), F.col("m")))
     best = votes.groupBy("set_id").agg(F.max_by("centre", F.struct("tables", "centre")).alias("centre"))
     tried = stored(best.select(F.col("set_id").alias("u"), F.col("centre").alias("v")), "pairs")
-    links = confirm(tried, sets, similarity)
-    total = classes.count()
+    roots = components(confirm(tried, sets, similarity))
+    few = PAIRS_A_CLASS * max(classes.count(), 10_000)
     while True:
-        roots = components(links)
         labelled = stored(members.select("table", "set_id", "n").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("table", "set_id", "n", F.coalesce("root", "set_id").alias("root")), "labelled")
         parts = labelled.groupBy("table", "root").agg(F.count("*").alias("size"), F.min("set_id").alias("centre"))
-        open_ = parts.groupBy("table").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max_by(F.struct(F.col("root").alias("main"), F.col("centre").alias("centre"), F.col("size").alias("most")), F.struct("size", "root")).alias("x")).where("parts > 1")
-        open_ = stored(open_.select("table", "x.main", "x.centre", ((F.col("size") - F.col("x.most")) * F.col("size")).alias("cost")), "open")
-        cost = open_.agg(F.sum("cost")).first()[0]
+        largest = F.max_by(F.struct(F.col("root").alias("main"), F.col("centre").alias("centre"), F.col("size").alias("most")), F.struct("size", "root"))
+        mixed_ = parts.groupBy("table").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), largest.alias("x")).where("parts > 1")
+        mixed_ = stored(mixed_.select("table", "x.main", "x.centre", ((F.col("size") - F.col("x.most")) * F.col("size")).alias("cost")), "mixed")
+        cost = mixed_.agg(F.sum("cost")).first()[0]
         if not cost:
             return roots
-        rest = stored(labelled.join(open_, "table"), "rest")
+        rest = stored(labelled.join(mixed_, "table"), "rest")
         out = rest.where("root <> main").select("table", F.col("set_id").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"), "centre")
-        if cost > PAIRS_A_CLASS * max(total, 10_000):
-            # too many to compare: first with the centre of each key's largest component
-            pairs = out.select("u", F.col("centre").alias("v")).distinct()
-        else:
+        all_pairs = cost <= few
+        if all_pairs:
             inner = rest.select("table", F.col("set_id").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"))
-            pairs = out.join(inner, "table").where((F.col("ur") != F.col("vr")) & can(F.col("un"), F.col("vn"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        pairs = stored(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if cost <= PAIRS_A_CLASS * max(total, 10_000):
+            pairs = out.join(inner, "table").where((F.col("ur") != F.col("vr")) & can(F.col("un"), F.col("vn")))
+        else:
+            # too many to compare: first with the centre of each key's largest component
+            pairs = out.select("u", F.col("centre").alias("v"))
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        pairs = stored(pairs.join(tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"), "pairs")
+        forget(labelled, mixed_, rest)
+        more = confirm(pairs, sets, similarity)
+        if more.isEmpty():
+            if all_pairs:
                 return roots
-            total *= 4  # the centres are done; compare the rest
+            few = 4 * few + 1  # the centres are done
             continue
-        more = confirm(pairs, sets, similarity)
         tried = stored(tried.unionByName(pairs), "tried")
-        links = stored(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "linked")
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+        if all_pairs:
+            return roots  # what is still apart was compared
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: int = SIMILARITY, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:

@@ -80,6 +80,51 @@ def test_decontamination(spark):
     assert {r.item_id for r in near.collect()} == {1}
 
 
+def test_proximity_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    draw = lambda n, most: " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.4, n), most))
+    # 20 words whose five rarest stand in the middle, at offsets 8 to 12
+    middle = [f"c{k}" for k in range(8)] + [f"r{k}" for k in range(5)] + [f"c{k}" for k in range(8, 15)]
+    common = " ".join(w for w in middle if w[0] == "c")
+    items = [(1, " ".join(middle)), (2, draw(26, 60)), (3, draw(22, 400)), (4, "short short item"), (5, None), (None, "null id item"), (6, draw(26, 60))]
+    texts = [f"x {' '.join(middle)} y", *[common] * 3, None, "", "item z short", *[draw(70, 60) for _ in range(60)], draw(900, 60)]
+    for _, t in items[1:3]:
+        w = t.split()
+        texts += [draw(20, 400) + " " + " ".join(np.insert(np.array(w, object), 10, ["in"] * 4)) + " " + draw(9, 60), " ".join(rng.permutation(w))]
+    want, span = {}, 30
+    for d, t in enumerate(texts):
+        words = WORD.findall(lower(t))
+        for i, x in items:
+            own = WORD.findall(lower(x))
+            for k in range(max(1, len(own) - 19) if own else 0):
+                bag = set(own[k : k + 20])
+                for a in range(len(words)):
+                    n = len(bag.intersection(words[a : a + span]))
+                    if words[a] in bag and n >= max(1, np.ceil(0.8 * len(bag))):
+                        was = want.get((d, i), (a, n))
+                        want[d, i] = (min(a, was[0]), max(n, was[1]))
+    assert want[0, 1] == (1, 20) and len(want) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    index, tests = decontam.build_index(docs), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.terms) for r in decontam.proximity(index, tests).collect()}
+    assert got == want
+    exact = {r.doc_id: r for r in decontam.search(index, tests).collect()}
+    near = {r.doc_id: r for r in decontam.search_near(index, tests).collect()}
+    assert len(near) == len(texts)
+    for d in range(len(texts)):
+        ids = sorted((i for e, i in want if e == d and i is not None), key=str)
+        assert tuple(near[d])[:7] == tuple(exact[d]) and near[d].near_ids == ids and near[d].n_near == len(ids)
+        assert near[d].near_terms == max((m for (e, _), (_, m) in want.items() if e == d), default=0)
+        assert near[d].near_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    # in small steps, the same
+    monkeypatch.setattr(decontam, "STEP_POSTINGS", 3)
+    monkeypatch.setattr(decontam, "STEP_WINDOWS", 2)
+    shards = [decontam.Shard(b, k) for b in index.toArrow().to_batches() for k in range(b.num_rows)]
+    bags = decontam._bagged(index, tests, 20)
+    small = {(s.doc_ids[d].as_py(), i): x for s in shards for (d, i), x in decontam._near(s, bags, 30, 0.8).items()}
+    assert small == want
+
+
 def test_query_blocks_merge(spark):
     items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma") for i in range(20)], "item_id long, text string")
     docs = spark.createDataFrame([(0, " ".join(f"alpha{i} beta{i} gamma" for i in range(20)))], "doc_id long, text string")

@@ -14,7 +14,8 @@ once to the shared folder and serve any later test set:
                   lists of the other terms, from rare to frequent. What is left
                   are exact phrase matches.
 ``proximity``     shards, test set -> windows of documents in which enough
-                  distinct rare terms of an item stand near each other.
+                  distinct terms of an item stand near each other, in any order.
+``search_near``   both: the row of ``search`` with what ``proximity`` finds.
 
 The test set is read in blocks of a bounded number of words, each a broadcast
 of bounded size; results of all blocks are merged in the shard. A term that
@@ -49,7 +50,11 @@ BLOCK_WORDS = 500_000
 PARTS_WORDS = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 
 SHARD = "doc_ids array<long>, n_words array<int>, terms array<long>, sizes array<int>, positions array<int>"
+#: Postings, and windows around them, that one step of ``proximity`` holds.
+STEP_POSTINGS, STEP_WINDOWS = 1 << 20, 10_000
+
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, item_ids array<long>, contaminated boolean"
+NEAR = "n_near long, near_sha256 string, near_ids array<long>, near_terms long"
 
 
 def term_hashes(words: pa.Array) -> np.ndarray:
@@ -153,6 +158,13 @@ class Shard:
         self.bounds = np.concatenate([[0], np.cumsum(self.n_words)])
         self.total = int(self.bounds[-1])
 
+    def sequence(self) -> np.ndarray:
+        """The slot at each position: the posting lists turned back."""
+        out = np.empty(self.total, dtype=np.int32)
+        by = np.argsort(self.starts)
+        out[self.positions] = np.repeat(by, self.sizes[by])
+        return out
+
     def find(self, terms: np.ndarray) -> np.ndarray:
         """Slots of terms, -1 for those without postings here."""
         if not len(self.terms):
@@ -169,6 +181,29 @@ class Shard:
         return self.positions[at].astype(np.int64) - np.repeat(offsets, n), np.repeat(owners, n)
 
 
+@dataclass
+class Bags:
+    """The distinct terms of each phrase, rarest first (``sizes`` of each,
+    padded by 0), and the items that hold each phrase."""
+
+    terms: np.ndarray
+    sizes: np.ndarray
+    items: list[list[int | None]]
+
+
+def bags(phrases: Phrases, rarity: np.ndarray) -> Bags:
+    terms = np.take_along_axis(phrases.terms, np.maximum(rarity, 0), axis=1)
+    order = np.argsort(terms, axis=1, kind="stable")
+    ordered = np.take_along_axis(terms, order, axis=1)
+    again = np.zeros(terms.shape, dtype=bool)
+    np.put_along_axis(again, order[:, 1:], ordered[:, 1:] == ordered[:, :-1], axis=1)
+    keep = (rarity >= 0) & ~again
+    left = np.argsort(~keep, axis=1, kind="stable")
+    sizes = keep.sum(axis=1)
+    terms = np.take_along_axis(terms, left, axis=1)
+    return Bags(np.where(np.arange(terms.shape[1]) < sizes[:, None], terms, 0), sizes, phrases.items)
+
+
 def intersect(shard: Shard, phrases: Phrases, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exact phrase matches in a shard: (first word, phrase) of each.
 
@@ -198,17 +233,22 @@ def intersect(shard: Shard, phrases: Phrases, rarity: np.ndarray) -> tuple[np.nd
     return starts[one], owner[one]
 
 
-def holds(shard: Shard, slots: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """Whether each slot's posting list holds the position: a binary search in
-    each list, all at once."""
+def within(shard: Shard, slots: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether each slot's posting list holds a position from ``first`` to
+    before ``last``: a binary search in each list, all at once."""
     low, size = shard.starts[slots].astype(np.int64), shard.sizes[slots]
     high = low + size
     end = high.copy()
     for _ in range(int(size.max()).bit_length() if len(size) else 0):
         mid = (low + high) // 2
-        less = (low < high) & (shard.positions[np.minimum(mid, len(shard.positions) - 1)] < positions)
+        less = (low < high) & (shard.positions[np.minimum(mid, len(shard.positions) - 1)] < first)
         low, high = np.where(less, mid + 1, low), np.where((low < high) & ~less, mid, high)
-    return (low < end) & (shard.positions[np.minimum(low, len(shard.positions) - 1)] == positions)
+    return (low < end) & (shard.positions[np.minimum(low, len(shard.positions) - 1)] < last)
+
+
+def holds(shard: Shard, slots: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """Whether each slot's posting list holds the position."""
+    return within(shard, slots, positions, positions + 1)
 
 
 def _ranked(phrases: Phrases, vocabulary: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -229,6 +269,30 @@ def _prepared(index: DataFrame, items: DataFrame, window: int) -> list:
     return out
 
 
+def _exact(shard: Shard, tests: list) -> list[pa.Array]:
+    """Columns of ``RESULT`` for a shard."""
+    edge = np.zeros(shard.total + 1, dtype=np.int64)
+    items_of: dict[int, set[int]] = {}
+    for test in tests:
+        phrases, rarity = test.value
+        starts, owner = intersect(shard, phrases, rarity)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + phrases.lengths[owner], -1)
+        doc = np.searchsorted(shard.bounds, starts, side="right") - 1
+        for d, k in set(zip(doc.tolist(), owner.tolist(), strict=True)):
+            items_of.setdefault(d, set()).update(i for i in phrases.items[k] if i is not None)
+    hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+    n_hit = hit[shard.bounds[1:]] - hit[shard.bounds[:-1]]
+    return [shard.doc_ids.cast(pa.int64()), pa.array(shard.n_words), pa.array(n_hit), *_listed(items_of, len(n_hit)), pa.array(n_hit > 0)]
+
+
+def _listed(items_of: dict[int, set[int]], n: int) -> list[pa.Array]:
+    """Count, digest and ids (ascending as strings) of each document's items."""
+    ids = [sorted(items_of.get(d, ()), key=str) for d in range(n)]
+    digest = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+    return [pa.array([len(x) for x in ids], pa.int64()), pa.array(digest), pa.array(ids, pa.list_(pa.int64()))]
+
+
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row a document: n_words, n_hit (words inside any phrase match),
     n_items, item_ids (ascending as strings), items_sha256, contaminated."""
@@ -237,68 +301,124 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                shard = Shard(batch, row)
-                edge = np.zeros(shard.total + 1, dtype=np.int64)
-                items_of: dict[int, set[int]] = {}
-                for test in tests:
-                    phrases, rarity = test.value
-                    starts, owner = intersect(shard, phrases, rarity)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + phrases.lengths[owner], -1)
-                    doc = np.searchsorted(shard.bounds, starts, side="right") - 1
-                    for d, k in set(zip(doc.tolist(), owner.tolist(), strict=True)):
-                        items_of.setdefault(d, set()).update(i for i in phrases.items[k] if i is not None)
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-                n_hit = hit[shard.bounds[1:]] - hit[shard.bounds[:-1]]
-                ids = [sorted(items_of.get(d, ()), key=str) for d in range(len(n_hit))]
-                digest = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [shard.doc_ids.cast(pa.int64()), pa.array(shard.n_words), pa.array(n_hit), pa.array([len(x) for x in ids], pa.int64()), pa.array(digest), pa.array(ids, pa.list_(pa.int64())), pa.array(n_hit > 0)],
-                    names=[x.split()[0] for x in RESULT.split(", ")],
-                )
+                yield pa.RecordBatch.from_arrays(_exact(Shard(batch, row), tests), names=[x.split()[0] for x in RESULT.split(", ")])
 
     return index.mapInArrow(match, RESULT)
 
 
+def neighbours(shard: Shard, test: Bags, span: int, share: float) -> tuple[np.ndarray, ...]:
+    """Windows of ``span`` words with ``share`` of a phrase's distinct terms:
+    (document, phrase, first word in the shard, distinct terms), the earliest
+    and the fullest around each seed.
+
+    Terms without postings here are missed by every window. Of those present,
+    the rarest one that a matching window holds is its seed: one of the first
+    ``present - need + 1``. From each posting of a seed, the later terms are
+    looked up within a span on both sides, rare ones first, until more are
+    missed than the window can spare. Around the postings left, the span slides
+    over every position that begins with a term of the phrase: any window
+    can be cut to begin so and keeps its terms.
+    """
+    width = test.terms.shape[1]
+    need = np.maximum(1, np.ceil(share * test.sizes)).astype(np.int64)
+    slots = np.where(np.arange(width) < test.sizes[:, None], shard.find(test.terms), -1)
+    have = (slots >= 0).sum(axis=1)
+    live = np.flatnonzero(have >= need)
+    slots, have, need = slots[live], have[live], need[live]
+    slots = np.take_along_axis(slots, np.argsort(slots < 0, axis=1, kind="stable"), axis=1)
+    found = [np.zeros((4, 0), dtype=np.int64)]
+    sequence = shard.sequence() if len(live) else None
+    around = np.arange(-span + 1, span)
+    for seed in range(int((have - need).max()) + 1 if len(live) else 0):
+        rows = np.flatnonzero(have - need >= seed)
+        cuts = np.flatnonzero(np.diff(np.cumsum(shard.sizes[slots[rows, seed]]) // STEP_POSTINGS)) + 1
+        for part in np.split(rows, cuts):
+            at, of = shard.shifted(slots[part, seed], np.zeros(len(part), np.int64), part)
+            doc = np.searchsorted(shard.bounds, at, side="right") - 1
+            low, high = np.maximum(at - span + 1, shard.bounds[doc]), np.minimum(at + span, shard.bounds[doc + 1])
+            spare = (have - need)[of] - seed
+            for step in range(seed + 1, width):
+                due = np.flatnonzero(step < have[of])
+                if not len(due):
+                    break
+                spare[due] -= ~within(shard, slots[of[due], step], low[due], high[due])
+                keep = spare >= 0
+                at, of, doc, low, high, spare = (x[keep] for x in (at, of, doc, low, high, spare))
+            for cut in range(0, len(at), STEP_WINDOWS):
+                a, o, d, lo, hi = (x[cut : cut + STEP_WINDOWS, None] for x in (at, of, doc, low, high))
+                place = a + around
+                words = np.where((place >= lo) & (place < hi), sequence[np.clip(place, 0, shard.total - 1)], -2)
+                hit = words[:, :, None] == slots[o[:, 0]][:, None, :]
+                sums = np.concatenate([np.zeros((len(a), 1, width), np.int16), np.cumsum(hit, axis=1, dtype=np.int16)], axis=1)
+                seen = (sums[:, span:] > sums[:, :span]).sum(axis=2)
+                good = hit[:, :span].any(axis=2) & (seen >= need[o])
+                some = np.flatnonzero(good.any(axis=1))
+                first = place[some, good[some].argmax(axis=1)]
+                found.append(np.stack([d[some, 0], live[o[some, 0]], first, np.where(good, seen, 0)[some].max(axis=1)]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _near(shard: Shard, tests: list, span: int, share: float) -> dict[tuple[int, int | None], tuple[int, int]]:
+    """(document's place, item) -> (first word of the earliest window, most
+    distinct terms of any window)."""
+    out: dict[tuple[int, int | None], tuple[int, int]] = {}
+    for test in tests:
+        doc, phrase, first, seen = neighbours(shard, test.value, span, share)
+        pairs, which = np.unique(np.stack([doc, phrase]), axis=1, return_inverse=True)
+        earliest, most = np.full(pairs.shape[1], np.iinfo(np.int64).max), np.zeros(pairs.shape[1], np.int64)
+        np.minimum.at(earliest, which.ravel(), first)
+        np.maximum.at(most, which.ravel(), seen)
+        earliest -= shard.bounds[pairs[0]]
+        for d, k, a, m in zip(*(x.tolist() for x in (*pairs, earliest, most)), strict=True):
+            for i in test.value.items[k]:
+                was = out.get((d, i), (a, m))
+                out[d, i] = (min(a, was[0]), max(m, was[1]))
+    return out
+
+
+def _bagged(index: DataFrame, items: DataFrame, window: int) -> list:
+    return [index.sparkSession.sparkContext.broadcast(bags(*test.value)) for test in _prepared(index, items, window)]
+
+
 def proximity(index: DataFrame, items: DataFrame, span: int = 30, share: float = 0.8, window: int = 20) -> DataFrame:
     """Inexact matches: (doc_id, item_id, start, terms) where ``share`` of the
     distinct terms of a phrase of ``window`` words stand within ``span`` words
-    of a document, in any order. Lists are taken from the rarest term on: a
-    phrase that misses more terms than allowed is dropped unread."""
-    tests = _prepared(index, items, window)
+    of a document, in any order. ``start``: the first such window that begins
+    with a term of its phrase; ``terms``: the most in any window."""
+    tests = _bagged(index, items, window)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = Shard(batch, row)
-                out = []
-                for test in tests:
-                    phrases, rarity = test.value
-                    for k, (terms, n) in enumerate(zip(phrases.terms, phrases.lengths, strict=True)):
-                        distinct = list(dict.fromkeys(terms[rarity[k][rarity[k] >= 0]].tolist()))
-                        need = max(1, int(np.ceil(share * len(distinct))))
-                        slots = [s for s in shard.find(np.array(distinct)).tolist() if s >= 0]
-                        if len(slots) < need:
-                            continue
-                        # a match holds one of the rarest terms at least
-                        seeds = slots[: len(slots) - need + 1]
-                        at = np.unique(np.concatenate([shard.positions[shard.starts[s] : shard.starts[s] + shard.sizes[s]] for s in seeds])).astype(np.int64)
-                        doc = np.searchsorted(shard.bounds, at, side="right") - 1
-                        # windows that start at a seed, or end there
-                        for low, high in ((at, at + span), (at - span + 1, at + 1)):
-                            low, high = np.maximum(low, shard.bounds[doc]), np.minimum(high, shard.bounds[doc + 1])
-                            seen = np.zeros(len(at), dtype=np.int64)
-                            for s in slots:
-                                p = shard.positions[shard.starts[s] : shard.starts[s] + shard.sizes[s]]
-                                seen += np.searchsorted(p, high) > np.searchsorted(p, low)
-                            for j in np.flatnonzero(seen >= need).tolist():
-                                out += [(shard.doc_ids[int(doc[j])].as_py(), i, int(low[j] - shard.bounds[doc[j]]), int(seen[j])) for i in phrases.items[k]]
-                out = sorted(set(out), key=str)
+                ids = shard.doc_ids.to_pylist()
+                out = [(ids[d], i, a, m) for (d, i), (a, m) in _near(shard, tests, span, share).items()]
                 cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "start", "terms"])
 
     return index.mapInArrow(near, "doc_id long, item_id long, start long, terms long").groupBy("doc_id", "item_id").agg(F.min("start").alias("start"), F.max("terms").alias("terms"))
 
 
+def search_near(index: DataFrame, items: DataFrame, span: int = 30, share: float = 0.8, window: int = 20) -> DataFrame:
+    """The rows of ``search`` with the items that ``proximity`` finds in each
+    document: n_near, near_sha256, near_ids, near_terms (the most in any
+    window, 0 without a match)."""
+    exact, tests = _prepared(index, items, WINDOW), _bagged(index, items, window)
+    schema = f"{RESULT}, {NEAR}"
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard = Shard(batch, row)
+                items_of: dict[int, set[int]] = {}
+                terms = np.zeros(len(shard.n_words), dtype=np.int64)
+                for (d, i), (_, m) in _near(shard, tests, span, share).items():
+                    items_of.setdefault(d, set()).update([] if i is None else [i])
+                    terms[d] = max(terms[d], m)
+                yield pa.RecordBatch.from_arrays([*_exact(shard, exact), *_listed(items_of, len(terms)), pa.array(terms)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return index.mapInArrow(match, schema)
+
+
 def contaminated_ids(matches: DataFrame) -> DataFrame:
     return matches.where("contaminated").select("doc_id")

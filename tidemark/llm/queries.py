@@ -81,6 +81,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.search(index, table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op9_decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and proximity matches. The columns that op9's SQL lacks stand here."""
+    index = decontam.build_index(table(spark, sf_dir, "documents"))
+    return decontam.search_near(index, table(spark, sf_dir, "benchmark")).drop("item_ids", "near_ids")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = tokens.encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path())
     return tokens.read_back(tokens.bases(parts))
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
+    "op9_decontamination_near": op9_decontamination_near,
     "op10_token_files": op10_token_files,
 }
 

@@ -245,6 +245,22 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_id_keeps_rare_grams_beside_a_large_language(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    count, seen = langid.count_grams, []
+    large = spark.range(3_000_000, numPartitions=8).select(F.lit("aa").alias("lang"), F.concat(F.lit("x"), F.lpad(F.conv("id", 10, 36), 4, "0")).alias("gram"), F.lit(5).cast("long").alias("n"))
+    monkeypatch.setattr(langid, "count_grams", lambda docs: count(docs).unionByName(large.select("lang", "gram", "n")))
+    monkeypatch.setattr(langid, "kneser_ney", lambda counts, languages: seen.append(counts) or langid.Model(languages))
+    monkeypatch.setattr(langid, "_calibrate", lambda model, rows: None)
+    docs = spark.createDataFrame([(i, f"skog{chr(97 + i)}", "bb") for i in range(20)] + [(99, "lorem", "aa")], "doc_id long, text string, lang string")
+    langid.fit(docs)
+    counts = seen[0]
+    assert len(counts) > 3_000_000
+    rare = counts[counts.lang == "bb"]
+    assert (rare.n[rare.gram.str.len() == 5] == 1).sum() >= 10  # kog? with its end, once each
+
+
 def test_kneser_ney_sums_to_one():
     import pandas as pd
 

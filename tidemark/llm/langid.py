@@ -16,8 +16,9 @@ best language.
 
 A fit takes a bounded sample: about ``sample`` documents a language, those with
 the smallest hashes of their ids (parameter). N-grams are counted in Spark with
-partial sums; the counts of so many documents, at most ``most`` n-grams, come to
-the driver. All documents are predicted, over their whole texts.
+partial sums; all counts of so many documents come to the driver, none is cut
+off by how often it is or by what other languages have. All documents are
+predicted, over their whole texts.
 
 Defined results: ``und`` and score 0 for a null text or one without letters,
 and for all texts if nothing can be learned; equal cross-entropies go to the
@@ -41,9 +42,8 @@ from .common import Words, blocks, byte_table, mixed, pick, stored
 
 ORDER = 5
 START, END = 2, 3
-#: Documents of each language that a fit takes, in expectation, and n-grams.
+#: Documents of each language that a fit takes, in expectation.
 SAMPLE = 2_500
-MOST_GRAMS = 3_000_000
 SEED = 29
 
 #: Everything in ASCII but letters parts words (texts are lower-cased before).
@@ -218,7 +218,7 @@ def _table(frame: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], np.log2(frame.to_numpy())[order]
 
 
-def fit(train: DataFrame, sample: int = SAMPLE, most: int = MOST_GRAMS) -> Model:
+def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``train`` (doc_id, text, lang; rows without lang are left
     out). A fifth of the sample is held back for calibration."""
     rows = pick(train, doc_id="long", text="string", lang="string").where("lang is not null and text is not null")
@@ -230,11 +230,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, most: int = MOST_GRAMS) -> Model
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int((1 << 30) * min(1.0, sample / n)))) for k, n in sizes.items()])
     taken = stored(rows.where(part < limit), "langid")
     held = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(5)) == 0
-    grams = stored(count_grams(taken.where(~held)), "grams")
-    low = 1
-    while grams.where(F.col("n") >= low).count() > most:
-        low *= 2
-    counts = grams.where((F.col("n") >= low) | (F.length("gram") == 1)).toPandas()
+    counts = stored(count_grams(taken.where(~held)), "grams").toArrow().to_pandas()  # of the sample alone
     if not len(counts):
         return Model([])
     model = kneser_ney(counts, [x for x in languages if x in set(counts.lang)])
@@ -271,7 +267,7 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, bits (per symbol), accepted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_GRAMS rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams of the sample
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

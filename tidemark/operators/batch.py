@@ -60,8 +60,12 @@ class WriteBatch:
         return spark.createDataFrame([(batch_id, i, op, bytearray(k), bytearray(v)) for i, (op, k, v) in enumerate(self.ops)], BATCH)
 
 
-def append(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two batches one after another: the second's ordinals are shifted."""
+def append(first: DataFrame, second: DataFrame, by: str | None = None) -> DataFrame:
+    """Two batches one after another: the second's ordinals are shifted. With
+    ``by``, a pair of batches for each value of that column."""
+    if by is not None:
+        shift = first.groupBy(by).agg((F.max("ord") + 1).alias("__shift"))
+        return first.unionByName(second.join(shift, by, "left").withColumn("ord", F.col("ord") + F.coalesce("__shift", F.lit(0))).select(*first.columns))
     shift = first.agg((F.coalesce(F.max("ord"), F.lit(-1)) + 1).alias("__shift"))
     return first.unionByName(second.crossJoin(F.broadcast(shift)).withColumn("ord", F.col("ord") + F.col("__shift")).drop("__shift"))  # one row
 

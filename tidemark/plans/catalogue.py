@@ -396,3 +396,35 @@ def _q50(spark, d):
 
     raw = F.concat(F.lit("u").cast("binary"), F.unhex(F.lit("00")), F.col("user_id").cast("string").cast("binary"))
     return events(spark, d).select("user_id").distinct().select(escaped(raw).alias("shown"))
+
+
+# The operators of q05, q06, q22 and q46 over whole tables.
+
+
+@query("q51_multi_get_all", f"WITH {A_SQL}, {state_sql('s', 'a')}, k AS (SELECT DISTINCT 'u'||lpad(CAST(c_custkey AS VARCHAR),6,'0') AS key FROM customer) SELECT k.key, s.value, s.seq FROM k LEFT JOIN s ON k.key=s.key")
+def _q51(spark, d):
+    wanted = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("u"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key")).distinct()
+    return resolve.multi_get(view_a(spark, d), wanted)
+
+
+#: Ten customers ask for one user; their snapshots go over all events.
+ALL_PROBES_SQL = "p AS (SELECT 'u'||lpad(CAST(c_custkey//10 AS VARCHAR),6,'0') AS key, c_custkey*7 AS snapshot, c_custkey AS probe FROM customer)"
+
+
+@query("q52_as_of_join_all", f"WITH {A_SQL}, {ALL_PROBES_SQL}, j AS (SELECT p.probe, p.key, p.snapshot, a.op, a.value, a.seq, row_number() OVER (PARTITION BY p.probe ORDER BY a.seq DESC) AS rn FROM p LEFT JOIN a ON a.key=p.key AND a.seq<=p.snapshot) SELECT probe, key, snapshot, CASE WHEN op=1 THEN value END AS value, CASE WHEN op=1 THEN seq END AS seq FROM j WHERE rn=1")
+def _q52(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    probes = c.select(F.concat(F.lit("u"), F.lpad(F.expr("c_custkey div 10").cast("string"), 6, "0")).alias("key"), (F.col("c_custkey") * 7).alias("snapshot"), F.col("c_custkey").alias("probe"))
+    return resolve.as_of_join(view_a(spark, d), probes)
+
+
+@query("q53_batch_append_all", f"WITH {B_SQL} SELECT batch_id, key, op, CASE WHEN batch_id%2=0 THEN ord ELSE ord+coalesce(max(ord) FILTER (WHERE batch_id%2=0) OVER (PARTITION BY batch_id//2)+1,0) END AS ord FROM b")
+def _q53(spark, d):
+    rows = view_b(spark, d).select("batch_id", "key", "op", "ord", F.expr("batch_id div 2").alias("pair"))
+    return batch.append(rows.where("batch_id % 2 = 0"), rows.where("batch_id % 2 = 1"), "pair").drop("pair")
+
+
+@query("q54_large_values_all", "WITH r AS (SELECT source||'/'||lpad(CAST(doc_id AS VARCHAR),8,'0') AS key, text AS value FROM documents) SELECT key, strlen(value) AS bytes, md5(value) AS digest FROM r")
+def _q54(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("key"), (F.col("doc_id") + 1).alias("seq"), F.lit(1).alias("op"), F.col("text").alias("value"))
+    return resolve.scan(docs).select("key", F.octet_length("value").cast("long").alias("bytes"), F.md5(F.col("value").cast("binary")).alias("digest"))

@@ -118,7 +118,9 @@ def conversations(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | Non
 def format_conversations(rows: DataFrame, template: Callable[[list[Turn]], str] | None = None, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """A row a conversation: formatted text, each turn's span, the loss mask
     (text parts of turns whose role is learned) and the turns that rewrote
-    history. A template without ``body`` masks whole spans."""
+    history. A template without ``body`` masks whole spans. Where any turn rewrote
+    history, the spans before it may no longer hold: the mask of the whole
+    conversation is empty, and ``rewritten`` says why."""
     template = template or TagTemplate()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

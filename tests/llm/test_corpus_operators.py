@@ -96,9 +96,7 @@ def near(rows, k):
     return sorted(((d is None, d or 0), len(sets[i]), label[i], d == label[i]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("pairs", [8, 0])
-def test_near_duplicates(spark, pairs, monkeypatch):
-    monkeypatch.setattr(near_dedup, "PAIRS_A_CLASS", pairs)
+def test_near_duplicates(spark):
     random.seed(11)
     stock = [f"w{i}" for i in range(300)]
     data = []

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; one longer text goes alone.
@@ -83,11 +83,32 @@ def task_count(source: DataFrame, per_task: int = TASK_BYTES) -> int:
 def pick(df: DataFrame, **types: str) -> DataFrame:
     """Exactly these columns with these types, whatever else ``df`` has; names
     match exactly first, then without case, and a missing one is null."""
-    out = []
-    for name, kind in types.items():
-        found = [c for c in df.columns if c == name] or [c for c in df.columns if c.lower() == name.lower()]
-        out.append((F.col(f"`{found[0]}`") if found else F.lit(None)).cast(kind).alias(name))
-    return df.select(*out)
+    own = Numbered(df)
+    return own.rows.select(*(own.column(name, kind).alias(name) for name, kind in types.items()))
+
+
+def row_key(doc_id: str | Column, text: str | Column) -> Column:
+    """A row's identity, 16 bytes of its id and text (neither name nor hash
+    says where the row stands): equal rows have equal keys."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")))))
+
+
+class Numbered:
+    """A table with its columns renamed by position, so that names which clash
+    (also by case alone) or that an operator uses itself do no harm."""
+
+    def __init__(self, docs: DataFrame):
+        self.own = docs.columns
+        self.names = [f"column_{i}" for i in range(len(self.own))]
+        self.rows = docs.toDF(*self.names)
+
+    def column(self, name: str, kind: str) -> Column:
+        """The column of this name, exactly or else without case; null if none."""
+        found = [i for i, c in enumerate(self.own) if c == name] or [i for i, c in enumerate(self.own) if c.lower() == name.lower()]
+        return (F.col(self.names[found[0]]) if found else F.lit(None)).cast(kind)
+
+    def restored(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.names).toDF(*self.own)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

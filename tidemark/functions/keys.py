@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Comparator = Callable[[Column], Column]
-
 
 def encode_int(column: Column) -> Column:
     """Signed 64-bit integers as 8 big-endian bytes in numeric order: the sign
@@ -80,16 +81,54 @@ def short_successor(key: bytes) -> bytes:
     return key if at is None else key[:at] + bytes([key[at] + 1])
 
 
-def bytewise(key: Column) -> Column:
-    return key
+@dataclass(frozen=True)
+class Comparator:
+    """An order of keys, as a sort key: ``column`` makes it of a key column (for
+    Spark), ``value`` of a key's bytes (for the driver's file ranges). Both must
+    order alike. Keys with equal sort keys are ordered by their bytes, so an
+    order never makes two keys one. A black-box comparison of two keys can't be
+    distributed and isn't offered."""
+
+    name: str
+    column: Callable[[Column], Column] | None = None  # None: the bytes themselves
+    value: Callable[[bytes], Any] | None = None
+
+    def order(self, key: Column) -> Column:
+        return key if self.column is None else F.struct(self.column(key), key)
+
+    def of(self, key: bytes):
+        return key if self.value is None else (self.value(key), key)
 
 
 def numeric_suffix(key: Column) -> Column:
     """Orders keys by the number they end with, then by the key."""
-    return F.struct(F.coalesce(F.regexp_extract(key.cast("string"), r"(\d+)$", 1).try_cast("long"), F.lit(-1)), key)
+    return F.coalesce(F.regexp_extract(key.cast("string"), r"([0-9]{1,18})$", 1).try_cast("long"), F.lit(-1))
+
+
+def _numeric_suffix(key: bytes) -> int:
+    found = re.search(rb"([0-9]{1,18})$", key)
+    return int(found[1]) if found else -1
+
+
+def reverse(key: Column) -> Column:
+    """Turned bytes and an end beyond any byte: larger keys come first."""
+    return F.concat(F.translate(F.hex(key), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
+def _reverse(key: bytes) -> str:
+    return key.hex().upper().translate(str.maketrans("0123456789ABCDEF", "FEDCBA9876543210")) + "G"
+
+
+#: Orders by name. A store keeps its order's name and can't be opened with another.
+COMPARATORS: dict[str, Comparator] = {}
+
+
+def register_comparator(comparator: Comparator) -> None:
+    """Make an order known by its name; a name can't be given twice to
+    different orders."""
+    if COMPARATORS.setdefault(comparator.name, comparator) != comparator:
+        raise ValueError(f"comparator {comparator.name} is known already")
 
 
-COMPARATORS: dict[str, Comparator] = {"bytewise": bytewise, "numeric_suffix": numeric_suffix}
-"""Orders by name: a function from the key column to a sort key. A store keeps
-its comparator's name and can't be opened with another. Keys with one sort key
-are one key, so resolution groups by the sort key."""
+for _known in (Comparator("bytewise"), Comparator("numeric_suffix", numeric_suffix, _numeric_suffix), Comparator("reverse", reverse, _reverse)):
+    register_comparator(_known)

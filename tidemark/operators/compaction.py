@@ -6,10 +6,14 @@ Frames of files have level, number, file_size, smallest_key, largest_key
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+Order = Callable[[Column], Column]
+
 # Fixed values of level shaping.
 L0_TRIGGER, L0_SLOWDOWN, L0_STOP = 4, 8, 12
 MAX_FLUSH_LEVEL = 2
@@ -17,6 +21,10 @@ LEVEL_BASE = 10 * 1048576
 LEVELS = 7
 
 
+def _bytes(key: Column) -> Column:
+    return key
+
+
 def drop_hidden(changes: DataFrame, oldest_snapshot: int | None = None) -> DataFrame:
     """Rule A: drop a version if a newer one of its key is at or below the
     oldest live snapshot. Without a snapshot only the newest version stays."""
@@ -39,11 +47,11 @@ def hidden_by_newer(changes: DataFrame) -> DataFrame:
     return changes.withColumn("hidden_by", F.lag("seq").over(order))
 
 
-def compact(changes: DataFrame, oldest_snapshot: int | None = None, bottom: bool = True, deeper: DataFrame | None = None) -> DataFrame:
+def compact(changes: DataFrame, oldest_snapshot: int | None = None, bottom: bool = True, deeper: DataFrame | None = None, order: Order = _bytes) -> DataFrame:
     """Rules A and B: tombstones at or below the oldest snapshot go as well,
     where no deeper level holds the key. ``bottom``: no deeper level at all;
     else ``deeper`` has the key ranges (smallest_key, largest_key) of deeper
-    levels' files."""
+    levels' files, in the order of keys."""
     kept = drop_hidden(changes, oldest_snapshot)
     bound = F.lit(True) if oldest_snapshot is None else F.col("seq") <= oldest_snapshot
     old_tombstone = (F.col("op") == 0) & bound
@@ -52,21 +60,24 @@ def compact(changes: DataFrame, oldest_snapshot: int | None = None, bottom: bool
     if deeper is None:
         return kept
     ranges = deeper.select("smallest_key", "largest_key")
-    covered = (F.col("key") >= F.col("smallest_key")) & (F.col("key") <= F.col("largest_key"))
+    covered = (order(F.col("key")) >= order(F.col("smallest_key"))) & (order(F.col("key")) <= order(F.col("largest_key")))
     gone = kept.where(old_tombstone).join(ranges, covered, "left_anti")
     return kept.join(gone.select("key", "seq"), ["key", "seq"], "left_anti").select(*kept.columns)
 
 
-def write_run(changes: DataFrame, path: str, files: int | None = None, bloom: bool = True, compression: str = "snappy", max_records: int = 0) -> None:
-    """A sorted run: range-partitioned by key, sorted by key and age inside
-    each file, so that row-group statistics and file ranges are selective. One
-    key's versions stay in one file."""
-    ranged = changes.repartitionByRange(files, "key") if files else changes.repartitionByRange("key")
-    writer = ranged.sortWithinPartitions("key", F.col("seq").desc()).write.option("compression", compression)
-    if bloom:
-        writer = writer.option("parquet.bloom.filter.enabled#key", "true")
-    if max_records:
-        writer = writer.option("maxRecordsPerFile", max_records)
+def write_run(changes: DataFrame, path: str, files: int | None = None, bloom_bits: int = 0, compression: str = "snappy", page_bytes: int = 0, order: Order = _bytes) -> None:
+    """A sorted run: range-partitioned in key order, sorted by key and age
+    inside each file, so that row-group statistics and file ranges are
+    selective. One key's versions stay in one file. ``bloom_bits``: bits a key
+    of the files' Bloom filters; ``page_bytes``: size of a data page."""
+    by = order(F.col("key"))
+    ranged = changes.repartitionByRange(files, by) if files else changes.repartitionByRange(by)
+    writer = ranged.sortWithinPartitions(by, F.col("seq").desc()).write.option("compression", compression)
+    if bloom_bits:
+        # the best share of false positives that so many bits a key allow
+        writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(0.6185**bloom_bits)).option("parquet.bloom.filter.adaptive.enabled", "true")
+    if page_bytes:
+        writer = writer.option("parquet.page.size", page_bytes)
     writer.mode("errorifexists").parquet(path)
 
 

@@ -12,11 +12,12 @@ column works.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .scratch import stored
+
 
 def visible(changes: DataFrame, snapshot: int | None = None) -> DataFrame:
     """Versions at or below a snapshot (None: all)."""
@@ -79,19 +80,20 @@ def as_of_join(changes: DataFrame, probes: DataFrame) -> DataFrame:
     return found.select("key", F.col("at").alias("snapshot"), *others, F.when(live, F.col("hit.value")).cast(kind).alias("value"), F.when(live, F.col("hit.seq")).alias("seq"))
 
 
-def in_range(changes: DataFrame, start=None, limit=None) -> DataFrame:
+def in_range(changes: DataFrame, start=None, limit=None, sort_key=None) -> DataFrame:
     """Versions with start <= key < limit; either bound may be open."""
+    order = sort_key or (lambda key: key)
     if start is not None:
-        changes = changes.where(F.col("key") >= F.lit(start))
+        changes = changes.where(order(F.col("key")) >= order(F.lit(start)))
     if limit is not None:
-        changes = changes.where(F.col("key") < F.lit(limit))
+        changes = changes.where(order(F.col("key")) < order(F.lit(limit)))
     return changes
 
 
 def scan(changes: DataFrame, snapshot: int | None = None, start=None, limit=None, reverse: bool = False, sort_key=None) -> DataFrame:
-    """Live rows in key order. ``sort_key``: a function of the key column, for
-    other orders."""
-    state = state_at(in_range(changes, start, limit), snapshot)
+    """Live rows in key order. ``sort_key``: a function from a key column to
+    what it is ordered by, bounds included."""
+    state = state_at(in_range(changes, start, limit, sort_key), snapshot)
     order = sort_key(F.col("key")) if sort_key else F.col("key")
     return state.orderBy(order.desc() if reverse else order.asc())
 
@@ -106,23 +108,45 @@ def seek_prev(changes: DataFrame, target, count: int, snapshot: int | None = Non
     return scan(changes, snapshot, limit=target, reverse=True).limit(count)
 
 
+def _in_ranges(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """``rows`` sorted in ranges, written once: ``range`` numbers the ranges in
+    order and ``at`` the rows of each from 0. All that is derived from it sees
+    the same ranges, however they were sampled and coalesced."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    got = stored(ranged.withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    return got.withColumn("__range", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def positions(rows: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
+    """Dense positions from 1 on in a total order: ranges are counted, and a
+    row's place in its range is added to the rows of the ranges before. Only a
+    number a range comes to the driver. Runs at once (the ranges are written)."""
+    ranged = _in_ranges(rows, *order)
+    base, offsets = 0, []
+    for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # a row a range
+        offsets.append((r["__range"], base))
+        base += r["n"]
+    table = F.broadcast(rows.sparkSession.createDataFrame(offsets, "__range long, __base long"))
+    return ranged.join(table, "__range").withColumn(name, F.col("__base") + F.col("__at") + 1).select(*rows.columns, name)
+
+
 def seek_each(changes: DataFrame, probes: DataFrame, snapshot: int | None = None) -> DataFrame:
     """``probes`` (target, ...) with the first live key at or after each target
     (``found``, null past the end), by merging both in key order instead of a
-    non-equi join. Keys are cut into ranges by the sort itself: the next key is
-    carried back over ranges from a table with one row a range."""
+    non-equi join. Both are sorted into the same ranges; the next key is carried
+    back over ranges from a table with one row a range."""
     others = [c for c in probes.columns if c != "target"]
     state = state_at(changes, snapshot)
     keys = state.select(F.col("key").alias("at"), F.lit(1).alias("is_key"), *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in others])
     asked = probes.select(F.col("target").alias("at"), F.lit(0).alias("is_key"), *others)
-    rows = keys.unionByName(asked).repartitionByRange("at").withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy(F.col("at").desc(), F.col("is_key").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _in_ranges(keys.unionByName(asked), "at")
+    inside = Window.partitionBy("__range").orderBy(F.col("at").desc(), F.col("is_key").desc()).rowsBetween(Window.unboundedPreceding, 0)
     near = rows.withColumn("found", F.last(F.when(F.col("is_key") == 1, F.col("at")), ignorenulls=True).over(inside))
-    firsts = near.groupBy("part").agg(F.min(F.when(F.col("is_key") == 1, F.col("at"))).alias("first"))
+    firsts = rows.groupBy("__range").agg(F.min(F.when(F.col("is_key") == 1, F.col("at"))).alias("first"))
     # a row a range: the first key of any later range
-    later = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    beyond = firsts.withColumn("beyond", F.last("first", ignorenulls=True).over(later)).select("part", "beyond")
-    return near.where("is_key = 0").join(F.broadcast(beyond), "part").select(F.col("at").alias("target"), *others, F.coalesce("found", "beyond").alias("found"))
+    later = Window.orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = firsts.withColumn("beyond", F.last("first", ignorenulls=True).over(later)).select("__range", "beyond")
+    return near.where("is_key = 0").join(F.broadcast(beyond), "__range").select(F.col("at").alias("target"), *others, F.coalesce("found", "beyond").alias("found"))
 
 
 def first_last(changes: DataFrame, snapshot: int | None = None) -> DataFrame:
@@ -195,6 +219,3 @@ def merge_runs(runs: list[DataFrame]) -> DataFrame:
         out = out.unionByName(run)
     return out
 
-
-def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
-    return spark.createDataFrame([], schema)

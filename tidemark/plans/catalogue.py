@@ -22,7 +22,8 @@ from pyspark.sql.window import Window
 from ..functions import keys as K
 from ..operators import batch, compaction, resolve
 
-S1, S2, OLDEST = 4000, 5000, 6000
+#: Snapshots: these per cent of all sequence numbers.
+S1, S2, OLDEST, LATE = 40, 50, 60, 78
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -32,8 +33,17 @@ B_SQL = "b AS (SELECT event_type||'/'||lpad(CAST(user_id AS VARCHAR),6,'0') AS k
 C_SQL = "c AS (SELECT lpad(CAST(o_orderkey AS VARCHAR),10,'0') AS key, o_orderkey+1 AS seq, o_orderstatus AS value FROM orders)"
 
 
+def snapshot_sql(percent: int) -> str:
+    return f"(SELECT CAST((max(event_id)+1)*{percent}//100 AS BIGINT) FROM events)"
+
+
+def snapshot(spark: SparkSession, d: str, percent: int) -> int:
+    """The sequence number that so many per cent of events are at or below."""
+    return ((events(spark, d).agg(F.max("event_id")).first()[0] or 0) + 1) * percent // 100
+
+
 def state_sql(name: str, view: str, bound: int | None = None) -> str:
-    where = f" WHERE seq<={bound}" if bound is not None else ""
+    where = f" WHERE seq<={snapshot_sql(bound)}" if bound is not None else ""
     return f"{name} AS (SELECT key,value,seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM {view}{where}) t WHERE rn=1 AND op=1)"
 
 
@@ -65,15 +75,8 @@ def query(name: str, sql: str | None) -> Callable[[Query], Query]:
     return put
 
 
-def positioned(rows: DataFrame, *order) -> DataFrame:
-    """Dense positions in a total order, without one task for all rows: ranges
-    are counted, and each range's rows are numbered from its offset."""
-    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.join(F.broadcast(offsets), "__part").withColumn("pos", (F.col("__before") + rank).cast("long")).drop("__part", "__before")
+def customer_keys(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("u"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key")).distinct()
 
 
 ONE_KEY = "u000042"
@@ -86,12 +89,12 @@ def _q01(spark, d):
 
 @query("q02_point_get_at_snapshot", f"WITH {A_SQL}, {state_sql('s', 'a', S2)} SELECT key, value FROM s WHERE key='{ONE_KEY}'")
 def _q02(spark, d):
-    return resolve.get(view_a(spark, d), ONE_KEY, S2).select("key", "value")
+    return resolve.get(view_a(spark, d), ONE_KEY, snapshot(spark, d, S2)).select("key", "value")
 
 
 @query("q03_state_at_snapshot", f"WITH {A_SQL}, {state_sql('s', 'a', S2)} SELECT key, value FROM s")
 def _q03(spark, d):
-    return resolve.state_at(view_a(spark, d), S2).select("key", "value")
+    return resolve.state_at(view_a(spark, d), snapshot(spark, d, S2)).select("key", "value")
 
 
 @query("q04_state_latest", f"WITH {A_SQL}, {state_sql('s', 'a')} SELECT key, value, seq FROM s")
@@ -99,30 +102,30 @@ def _q04(spark, d):
     return resolve.state_at(view_a(spark, d))
 
 
-@query("q05_multi_get", f"WITH {A_SQL}, {state_sql('s', 'a')}, k AS (SELECT DISTINCT 'u'||lpad(CAST(c_custkey*3 AS VARCHAR),6,'0') AS key FROM customer WHERE c_custkey<=100) SELECT k.key, s.value, s.seq FROM k LEFT JOIN s ON k.key=s.key")
+@query("q05_multi_get", f"WITH {A_SQL}, {state_sql('s', 'a')}, k AS (SELECT DISTINCT 'u'||lpad(CAST(c_custkey AS VARCHAR),6,'0') AS key FROM customer) SELECT k.key, s.value, s.seq FROM k LEFT JOIN s ON k.key=s.key")
 def _q05(spark, d):
-    wanted = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey <= 100").select(F.concat(F.lit("u"), F.lpad((F.col("c_custkey") * 3).cast("string"), 6, "0")).alias("key")).distinct()
-    return resolve.multi_get(view_a(spark, d), wanted)
+    return resolve.multi_get(view_a(spark, d), customer_keys(spark, d))
 
 
-PROBES_SQL = "p AS (SELECT 'u'||lpad(CAST(c_custkey AS VARCHAR),6,'0') AS key, c_custkey*37 AS snapshot, c_custkey AS probe FROM customer WHERE c_custkey<=200)"
+#: Ten customers ask for one user; their snapshots go over all events.
+PROBES_SQL = "p AS (SELECT 'u'||lpad(CAST(c_custkey//10 AS VARCHAR),6,'0') AS key, c_custkey*7 AS snapshot, c_custkey AS probe FROM customer)"
 
 
 @query("q06_as_of_join", f"WITH {A_SQL}, {PROBES_SQL}, j AS (SELECT p.probe, p.key, p.snapshot, a.op, a.value, a.seq, row_number() OVER (PARTITION BY p.probe ORDER BY a.seq DESC) AS rn FROM p LEFT JOIN a ON a.key=p.key AND a.seq<=p.snapshot) SELECT probe, key, snapshot, CASE WHEN op=1 THEN value END AS value, CASE WHEN op=1 THEN seq END AS seq FROM j WHERE rn=1")
 def _q06(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey <= 200")
-    probes = c.select(F.concat(F.lit("u"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key"), (F.col("c_custkey") * 37).alias("snapshot"), F.col("c_custkey").alias("probe"))
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    probes = c.select(F.concat(F.lit("u"), F.lpad(F.expr("c_custkey div 10").cast("string"), 6, "0")).alias("key"), (F.col("c_custkey") * 7).alias("snapshot"), F.col("c_custkey").alias("probe"))
     return resolve.as_of_join(view_a(spark, d), probes)
 
 
 @query("q07_forward_scan", f"WITH {A_SQL}, {state_sql('s', 'a', S2)} SELECT row_number() OVER (ORDER BY key) AS pos, key, value FROM s")
 def _q07(spark, d):
-    return positioned(resolve.state_at(view_a(spark, d), S2), "key").select("pos", "key", "value")
+    return resolve.positions(resolve.state_at(view_a(spark, d), snapshot(spark, d, S2)), "key").select("pos", "key", "value")
 
 
 @query("q08_reverse_scan", f"WITH {A_SQL}, {state_sql('s', 'a')} SELECT row_number() OVER (ORDER BY key DESC) AS pos, key, value FROM s")
 def _q08(spark, d):
-    return positioned(resolve.state_at(view_a(spark, d)), F.col("key").desc()).select("pos", "key", "value")
+    return resolve.positions(resolve.state_at(view_a(spark, d)), F.col("key").desc()).select("pos", "key", "value")
 
 
 TARGETS = ["", "u000000", "u000042", "u000042x", "u000099", "u0001", "v"]
@@ -135,13 +138,13 @@ def _q09(spark, d):
 
 @query("q10_seek_next", f"WITH {A_SQL}, {state_sql('s', 'a', S2)} SELECT key, value, row_number() OVER (ORDER BY key) AS pos FROM s WHERE key>='u000060' ORDER BY key LIMIT 5")
 def _q10(spark, d):
-    found = resolve.seek_next(view_a(spark, d), "u000060", 5, S2)
+    found = resolve.seek_next(view_a(spark, d), "u000060", 5, snapshot(spark, d, S2))
     return found.select("key", "value", F.row_number().over(Window.orderBy("key")).cast("long").alias("pos"))
 
 
 @query("q11_seek_prev", f"WITH {A_SQL}, {state_sql('s', 'a', S2)} SELECT key, value, row_number() OVER (ORDER BY key DESC) AS pos FROM s WHERE key<'u000060' ORDER BY key DESC LIMIT 5")
 def _q11(spark, d):
-    found = resolve.seek_prev(view_a(spark, d), "u000060", 5, S2)
+    found = resolve.seek_prev(view_a(spark, d), "u000060", 5, snapshot(spark, d, S2))
     return found.select("key", "value", F.row_number().over(Window.orderBy(F.col("key").desc())).cast("long").alias("pos"))
 
 
@@ -182,14 +185,14 @@ def _q18(spark, d):
 
 @query("q19_snapshot_diff", f"WITH {A_SQL}, {state_sql('o', 'a', S1)}, {state_sql('n', 'a', S2)} SELECT coalesce(o.key,n.key) AS key, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'removed' ELSE 'changed' END AS change, o.value AS old_value, n.value AS new_value FROM o FULL JOIN n ON o.key=n.key WHERE o.key IS NULL OR n.key IS NULL OR o.value IS DISTINCT FROM n.value")
 def _q19(spark, d):
-    return resolve.diff(view_a(spark, d), S1, S2)
+    return resolve.diff(view_a(spark, d), snapshot(spark, d, S1), snapshot(spark, d, S2))
 
 
 for _how, _op in (("except", "EXCEPT"), ("intersect", "INTERSECT"), ("union", "UNION")):
 
     @query(f"q20_keys_{_how}", f"WITH {A_SQL}, {state_sql('o', 'a', S1)}, {state_sql('n', 'a', S2)} SELECT key FROM o {_op} SELECT key FROM n")
     def _q20(spark, d, how=_how):
-        return resolve.keys_set(view_a(spark, d), S1, S2, how)
+        return resolve.keys_set(view_a(spark, d), snapshot(spark, d, S1), snapshot(spark, d, S2), how)
 
 
 @query("q21_last_in_batch", f"WITH {B_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY batch_id, key ORDER BY ord DESC) AS rn FROM b) SELECT batch_id, key, ord, op, value FROM r WHERE rn=1")
@@ -197,10 +200,10 @@ def _q21(spark, d):
     return batch.last_in_batch(view_b(spark, d).select("batch_id", "key", "ord", "op", "value"))
 
 
-@query("q22_batch_append", f"WITH {B_SQL} SELECT batch_id, key, op, CASE WHEN batch_id=3 THEN ord ELSE ord+10 END AS ord FROM b WHERE batch_id IN (3,8)")
+@query("q22_batch_append", f"WITH {B_SQL} SELECT batch_id, key, op, CASE WHEN batch_id%2=0 THEN ord ELSE ord+coalesce(max(ord) FILTER (WHERE batch_id%2=0) OVER (PARTITION BY batch_id//2)+1,0) END AS ord FROM b")
 def _q22(spark, d):
-    rows = view_b(spark, d).select("batch_id", "key", "op", "ord")
-    return batch.append(rows.where("batch_id = 3"), rows.where("batch_id = 8"))
+    rows = view_b(spark, d).select("batch_id", "key", "op", "ord", F.expr("batch_id div 2").alias("pair"))
+    return batch.append(rows.where("batch_id % 2 = 0"), rows.where("batch_id % 2 = 1"), "pair").drop("pair")
 
 
 @query("q23_batch_sizes", f"WITH {B_SQL} SELECT batch_id, count(*) AS ops, count(*) FILTER (WHERE op=0) AS deletions, CAST(sum(strlen(key)+CASE WHEN op=1 THEN strlen(value) ELSE 0 END) AS BIGINT) AS bytes FROM b GROUP BY batch_id")
@@ -222,23 +225,27 @@ def _q25(spark, d):
 HIDDEN_SQL = "h AS (SELECT *, lag(seq) OVER (PARTITION BY key ORDER BY seq DESC) AS newer FROM a)"
 
 
-@query("q26_compact_with_snapshot", f"WITH {A_SQL}, {HIDDEN_SQL} SELECT key, seq, op, value FROM h WHERE newer IS NULL OR newer>{OLDEST}")
+@query("q26_compact_with_snapshot", f"WITH {A_SQL}, {HIDDEN_SQL} SELECT key, seq, op, value FROM h WHERE newer IS NULL OR newer>{snapshot_sql(OLDEST)}")
 def _q26(spark, d):
-    return compaction.drop_hidden(view_a(spark, d), OLDEST)
+    return compaction.drop_hidden(view_a(spark, d), snapshot(spark, d, OLDEST))
 
 
-@query("q27_compact_bottom", f"WITH {A_SQL}, {HIDDEN_SQL} SELECT key, seq, op, value FROM h WHERE (newer IS NULL OR newer>{OLDEST}) AND NOT (op=0 AND seq<={OLDEST})")
+@query("q27_compact_bottom", f"WITH {A_SQL}, {HIDDEN_SQL} SELECT key, seq, op, value FROM h WHERE (newer IS NULL OR newer>{snapshot_sql(OLDEST)}) AND NOT (op=0 AND seq<={snapshot_sql(OLDEST)})")
 def _q27(spark, d):
-    return compaction.compact(view_a(spark, d), OLDEST)
+    return compaction.compact(view_a(spark, d), snapshot(spark, d, OLDEST))
+
 
+_at = lambda percent: f"SELECT {percent} AS percent, count(*) AS live, CAST(sum(seq) AS BIGINT) AS seqs, CAST(sum(strlen(key)+strlen(value)) AS BIGINT) AS bytes, min(key) AS first_key, max(key) AS last_key FROM s{percent}"
 
-@query("q28_compaction_invariance", "SELECT * FROM (VALUES (6000, 0), (6001, 0), (7777, 0)) t(snapshot, differences)")
+
+@query("q28_compaction_invariance", f"WITH {A_SQL}, {', '.join(state_sql(f's{p}', 'a', p) for p in (OLDEST, LATE))} {_at(OLDEST)} UNION ALL {_at(LATE)}")
 def _q28(spark, d):
-    before, after, out = view_a(spark, d), compaction.compact(view_a(spark, d), OLDEST), None
-    for s in (OLDEST, OLDEST + 1, 7777):
-        a, b = resolve.state_at(before, s), resolve.state_at(after, s)
-        n = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").cast("int").alias("differences")).select(F.lit(s).alias("snapshot"), "differences")
-        out = n if out is None else out.unionByName(n)
+    """States after a compaction, at its oldest snapshot and a later one."""
+    after, out = compaction.compact(view_a(spark, d), snapshot(spark, d, OLDEST)), None
+    for percent in (OLDEST, LATE):
+        s = resolve.state_at(after, snapshot(spark, d, percent))
+        got = s.agg(F.count("*").alias("live"), F.sum("seq").alias("seqs"), F.sum(F.octet_length("key") + F.octet_length("value")).cast("long").alias("bytes"), F.min("key").alias("first_key"), F.max("key").alias("last_key")).select(F.lit(percent).alias("percent"), "*")
+        out = got if out is None else out.unionByName(got)
     return out
 
 
@@ -254,22 +261,23 @@ def _q30(spark, d):
     return resolve.newest(resolve.merge_runs([b.where("run % 2 = 0"), b.where("run % 2 = 1")])).where("op = 1").select("key", "seq", "value", "run")
 
 
-@query("q31_reverse_comparator", f"WITH {A_SQL}, {state_sql('s', 'a', S2)} SELECT row_number() OVER (ORDER BY key DESC) AS pos, key FROM s WHERE key<='u000100'")
+@query("q31_reverse_comparator", f"WITH {C_SQL} SELECT row_number() OVER (ORDER BY key DESC) AS pos, key FROM c")
 def _q31(spark, d):
-    return positioned(resolve.state_at(view_a(spark, d).where("key <= 'u000100'"), S2), F.col("key").desc()).select("pos", "key")
+    order = K.COMPARATORS["reverse"].order
+    return resolve.positions(resolve.state_at(view_c(spark, d)), order(F.col("key").cast("binary"))).select("pos", "key")
 
 
-@query("q32_numeric_comparator", f"WITH {A_SQL}, r AS (SELECT 'k'||CAST(CAST(substr(key,2) AS BIGINT) AS VARCHAR) AS key, seq, op, value FROM a), {state_sql('s', 'r')} SELECT row_number() OVER (ORDER BY CAST(substr(key,2) AS BIGINT)) AS pos, key FROM s")
+@query("q32_numeric_comparator", "WITH r AS (SELECT 'k'||CAST(o_orderkey AS VARCHAR) AS key, o_orderkey FROM orders) SELECT row_number() OVER (ORDER BY o_orderkey) AS pos, key FROM r")
 def _q32(spark, d):
-    plain = view_a(spark, d).withColumn("key", F.concat(F.lit("k"), F.substring("key", 2, 9).cast("long").cast("string")))
-    return positioned(resolve.state_at(plain), K.numeric_suffix(F.col("key"))).select("pos", "key")
+    plain = view_c(spark, d).withColumn("key", F.concat(F.lit("k"), F.col("key").cast("long").cast("string")))
+    return resolve.positions(resolve.state_at(plain), K.COMPARATORS["numeric_suffix"].order(F.col("key"))).select("pos", "key")
 
 
 @query("q33_composite_key_order", "SELECT event_type, user_id, dense_rank() OVER (ORDER BY event_type, user_id) AS pos FROM (SELECT DISTINCT event_type, user_id FROM events) t")
 def _q33(spark, d):
     pairs = events(spark, d).select("event_type", "user_id").distinct()
     coded = pairs.withColumn("code", K.composite(K.encode_text(F.col("event_type")), K.encode_int(F.col("user_id"))))
-    return positioned(coded, "code").select("event_type", "user_id", "pos")
+    return resolve.positions(coded, "code").select("event_type", "user_id", "pos")
 
 
 PREFIXES = ["u00001", "u0001", "u", "view", "zz"]
@@ -344,16 +352,15 @@ def _q42(spark, d):
     return compaction.replay(edits)
 
 
-@query("q43_bloom_filter", "SELECT count(DISTINCT user_id) AS keys, 0 AS missed, true AS few_false FROM events")
+@query("q43_bloom_filter", f"WITH {B_SQL}, k AS (SELECT DISTINCT split_part(key,'/',1) AS file, key FROM b) SELECT file, count(*) AS keys, count(*) AS found, CAST((greatest(64,count(*)*10)+7)//8+1 AS BIGINT) AS bytes FROM k GROUP BY file")
 def _q43(spark, d):
+    """A filter for each event type: none of its keys is missed."""
     from ..functions import blooms
 
-    state = view_a(spark, d).select("key").distinct()
-    filters = blooms.build(state.withColumn("file", F.lit(0)), bits=10)
-    absent = state.select(F.concat("key", F.lit("#absent")).alias("key"), F.lit(0).alias("file"), F.lit(False).alias("present"))
-    probes = state.select("key", F.lit(0).alias("file"), F.lit(True).alias("present")).unionByName(absent)
-    got = blooms.probe(filters, probes)
-    return got.agg(F.count_if("present").alias("keys"), F.count_if(F.col("present") & ~F.col("may_match")).cast("int").alias("missed"), (F.count_if(~F.col("present") & F.col("may_match")) <= F.greatest(F.lit(8), F.count_if(~F.col("present")) * 0.03)).alias("few_false"))
+    keys = view_b(spark, d).select(F.split_part("key", F.lit("/"), F.lit(1)).alias("file"), "key").distinct()
+    filters = blooms.build(keys, bits=10)
+    found = blooms.probe(filters, keys).groupBy("file").agg(F.count("*").alias("keys"), F.count_if("may_match").alias("found"))
+    return found.join(filters.groupBy("file").agg(F.sum(F.octet_length("filter")).cast("long").alias("bytes")), "file").select("file", "keys", "found", "bytes")
 
 
 @query("q44_state_join_dimension", f"WITH {A_SQL}, {state_sql('s', 'a')} SELECT c.c_mktsegment AS segment, count(*) AS live, CAST(max(s.seq) AS BIGINT) AS newest FROM s JOIN customer c ON s.key='u'||lpad(CAST(c.c_custkey AS VARCHAR),6,'0') GROUP BY c.c_mktsegment")
@@ -367,16 +374,16 @@ def _q45(spark, d):
     return resolve.state_at(view_c(spark, d)).groupBy("value").agg(F.count("*").alias("live"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
-@query("q46_large_values", "WITH r AS (SELECT source||'/'||lpad(CAST(doc_id AS VARCHAR),8,'0') AS key, text AS value FROM documents) SELECT key, strlen(value) AS bytes, md5(value) AS digest FROM r WHERE key>='src1/' AND key<'src2'")
+@query("q46_large_values", "WITH r AS (SELECT source||'/'||lpad(CAST(doc_id AS VARCHAR),8,'0') AS key, text AS value FROM documents) SELECT key, strlen(value) AS bytes, md5(value) AS digest FROM r")
 def _q46(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("key"), (F.col("doc_id") + 1).alias("seq"), F.lit(1).alias("op"), F.col("text").alias("value"))
-    return resolve.scan(docs, start="src1/", limit="src2").select("key", F.octet_length("value").cast("long").alias("bytes"), F.md5(F.col("value").cast("binary")).alias("digest"))
+    return resolve.state_at(docs).select("key", F.octet_length("value").cast("long").alias("bytes"), F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
-@query("q47_turn_histories", "SELECT lpad(CAST(conv_id AS VARCHAR),8,'0') AS key, max(turn)+1 AS seq, arg_max(text, turn) AS value, count(*) AS versions FROM conversations GROUP BY conv_id")
+@query("q47_turn_histories", "SELECT lpad(CAST(conv_id AS VARCHAR),8,'0') AS key, max(turn)+1 AS seq, arg_max(text, turn) AS value FROM conversations GROUP BY conv_id")
 def _q47(spark, d):
     t = spark.read.parquet(f"{d}/conversations.parquet").select(F.lpad(F.col("conv_id").cast("string"), 8, "0").alias("key"), (F.col("turn") + 1).alias("seq"), F.lit(1).alias("op"), F.col("text").alias("value"))
-    return t.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"), F.count("*").alias("versions"))
+    return resolve.state_at(t).select("key", "seq", "value")
 
 
 @query("q48_grandparent_overlap", f"WITH {RUNS_SQL} SELECT x.number, CAST(coalesce(sum(g.file_size),0) AS BIGINT) AS overlap_bytes FROM f x LEFT JOIN f g ON g.level=2 AND x.smallest_key<=g.largest_key AND g.smallest_key<=x.largest_key WHERE x.level=0 GROUP BY x.number")
@@ -385,9 +392,9 @@ def _q48(spark, d):
     return compaction.grandparent_bytes(f.where("level = 0"), f.where("level = 2"))
 
 
-@query("q49_hidden_versions", f"WITH {A_SQL}, {HIDDEN_SQL} SELECT key, seq, newer AS hidden_by FROM h WHERE newer<={OLDEST}")
+@query("q49_hidden_versions", f"WITH {A_SQL}, {HIDDEN_SQL} SELECT key, seq, newer AS hidden_by FROM h WHERE newer<={snapshot_sql(OLDEST)}")
 def _q49(spark, d):
-    return compaction.hidden_by_newer(view_a(spark, d)).where(F.col("hidden_by") <= OLDEST).select("key", "seq", "hidden_by")
+    return compaction.hidden_by_newer(view_a(spark, d)).where(F.col("hidden_by") <= snapshot(spark, d, OLDEST)).select("key", "seq", "hidden_by")
 
 
 @query("q50_escaped_keys", "SELECT DISTINCT 'u\\x00'||CAST(user_id AS VARCHAR) AS shown FROM events")
@@ -396,35 +403,3 @@ def _q50(spark, d):
 
     raw = F.concat(F.lit("u").cast("binary"), F.unhex(F.lit("00")), F.col("user_id").cast("string").cast("binary"))
     return events(spark, d).select("user_id").distinct().select(escaped(raw).alias("shown"))
-
-
-# The operators of q05, q06, q22 and q46 over whole tables.
-
-
-@query("q51_multi_get_all", f"WITH {A_SQL}, {state_sql('s', 'a')}, k AS (SELECT DISTINCT 'u'||lpad(CAST(c_custkey AS VARCHAR),6,'0') AS key FROM customer) SELECT k.key, s.value, s.seq FROM k LEFT JOIN s ON k.key=s.key")
-def _q51(spark, d):
-    wanted = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("u"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key")).distinct()
-    return resolve.multi_get(view_a(spark, d), wanted)
-
-
-#: Ten customers ask for one user; their snapshots go over all events.
-ALL_PROBES_SQL = "p AS (SELECT 'u'||lpad(CAST(c_custkey//10 AS VARCHAR),6,'0') AS key, c_custkey*7 AS snapshot, c_custkey AS probe FROM customer)"
-
-
-@query("q52_as_of_join_all", f"WITH {A_SQL}, {ALL_PROBES_SQL}, j AS (SELECT p.probe, p.key, p.snapshot, a.op, a.value, a.seq, row_number() OVER (PARTITION BY p.probe ORDER BY a.seq DESC) AS rn FROM p LEFT JOIN a ON a.key=p.key AND a.seq<=p.snapshot) SELECT probe, key, snapshot, CASE WHEN op=1 THEN value END AS value, CASE WHEN op=1 THEN seq END AS seq FROM j WHERE rn=1")
-def _q52(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet")
-    probes = c.select(F.concat(F.lit("u"), F.lpad(F.expr("c_custkey div 10").cast("string"), 6, "0")).alias("key"), (F.col("c_custkey") * 7).alias("snapshot"), F.col("c_custkey").alias("probe"))
-    return resolve.as_of_join(view_a(spark, d), probes)
-
-
-@query("q53_batch_append_all", f"WITH {B_SQL} SELECT batch_id, key, op, CASE WHEN batch_id%2=0 THEN ord ELSE ord+coalesce(max(ord) FILTER (WHERE batch_id%2=0) OVER (PARTITION BY batch_id//2)+1,0) END AS ord FROM b")
-def _q53(spark, d):
-    rows = view_b(spark, d).select("batch_id", "key", "op", "ord", F.expr("batch_id div 2").alias("pair"))
-    return batch.append(rows.where("batch_id % 2 = 0"), rows.where("batch_id % 2 = 1"), "pair").drop("pair")
-
-
-@query("q54_large_values_all", "WITH r AS (SELECT source||'/'||lpad(CAST(doc_id AS VARCHAR),8,'0') AS key, text AS value FROM documents) SELECT key, strlen(value) AS bytes, md5(value) AS digest FROM r")
-def _q54(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("key"), (F.col("doc_id") + 1).alias("seq"), F.lit(1).alias("op"), F.col("text").alias("value"))
-    return resolve.scan(docs).select("key", F.octet_length("value").cast("long").alias("bytes"), F.md5(F.col("value").cast("binary")).alias("digest"))

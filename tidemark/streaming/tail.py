@@ -60,3 +60,13 @@ def live_view(changes: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     return changes.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by(F.struct("op", "value"), "seq").alias("v")).select("key", "seq", "v.op", "v.value")
+
+
+def publish(view: DataFrame, path: str, progress: str, name: str) -> None:
+    """Run a stream of whole results to the end of what is there; the last
+    result is a Parquet folder. For complete mode."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    view.writeStream.outputMode("complete").foreachBatch(put).queryName(name).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()

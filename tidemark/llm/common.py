@@ -3,6 +3,7 @@ bounded Arrow blocks, and vectorised word splitting."""
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -14,21 +15,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; one longer text goes alone.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Plan bytes (compressed Parquet) for one task of an explicit repartition.
-TASK_BYTES = 24 << 20
+TASK_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) a folder below the
-    warehouse directory is taken, and set as the checkpoint folder.
+    Only where that is unset and all runs on one machine a folder below the
+    warehouse directory is taken; on a cluster that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
@@ -125,15 +127,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
-
-
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in an Arrow batch from now on: for operators that
-    hand whole texts to Python and back, where a batch of Spark's 10,000 rows
-    is held several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -215,26 +209,38 @@ def local_file(uri: str) -> str | None:
     return uri if uri.startswith("/") else None
 
 
-def write_file(uri: str, data: list) -> None:
-    """Write buffers as one file that appears whole or not at all: a temporary
-    name in the same folder, then a rename. Repeated attempts may overlap."""
-    path = local_file(uri)
-    part = f".{uuid.uuid4().hex}.tmp"
-    if path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path + part, "wb") as out:
-            for x in data:
-                out.write(x)
-        os.replace(path + part, path)
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    with store.open_output_stream(path + part) as out:
-        for x in data:
-            out.write(x)
-    store.move(path + part, path)
+class NewFile:
+    """A file that appears whole or not at all: written bit by bit under a
+    temporary name in the same folder, then renamed. Attempts may overlap."""
+
+    def __init__(self, uri: str):
+        self.local = local_file(uri)
+        if self.local:
+            self.path = self.local
+            os.makedirs(os.path.dirname(self.path), exist_ok=True)
+        else:
+            from pyarrow import fs
+
+            self.store, self.path = fs.FileSystem.from_uri(uri)
+            self.store.create_dir(os.path.dirname(self.path), recursive=True)
+        self.part = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.out = open(self.part, "wb") if self.local else self.store.open_output_stream(self.part)
+
+    def write(self, data) -> None:
+        self.out.write(data)
+
+    def done(self) -> None:
+        self.out.close()
+        if self.local:
+            os.replace(self.part, self.path)
+        else:
+            self.store.move(self.part, self.path)
+
+    def drop(self) -> None:
+        """Leave nothing behind, unless the file is done."""
+        self.out.close()
+        with contextlib.suppress(OSError):
+            os.remove(self.part) if self.local else self.store.delete_file(self.part)
 
 
 def map_file(uri: str, dtype: str) -> np.ndarray:

@@ -45,6 +45,8 @@ from .common import Words, blocks, byte_table, pick, stored
 WINDOW = 10
 #: Words of the test set in one broadcast block: at most about 100 MB.
 BLOCK_WORDS = 500_000
+#: Text bytes of a shard; one longer text is a shard of its own.
+SHARD_BYTES = 4 << 20
 
 #: Everything in ASCII but digits and letters parts words.
 PARTS_WORDS = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
@@ -66,7 +68,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """Shards of the positional index, stored in the shared folder."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, most=SHARD_BYTES):
             words = Words(block.column("text"), PARTS_WORDS)
             order = np.argsort(words.codes.astype(np.int32), kind="stable").astype(np.int32)
             sizes = np.bincount(words.codes, minlength=len(words.vocabulary)).astype(np.int32)
@@ -418,7 +420,3 @@ def search_near(index: DataFrame, items: DataFrame, span: int = 30, share: float
                 yield pa.RecordBatch.from_arrays([*_exact(shard, exact), *_listed(items_of, len(terms)), pa.array(terms)], names=[x.split()[0] for x in schema.split(", ")])
 
     return index.mapInArrow(match, schema)
-
-
-def contaminated_ids(matches: DataFrame) -> DataFrame:
-    return matches.where("contaminated").select("doc_id")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, bound_batches, pick, stored, string_array, text_bytes
+from .common import Numbered, Words, blocks, pick, stored, string_array, text_bytes
 
 #: Labelled documents that a fit takes at most (in expectation, by hash).
 SAMPLE = 20_000
@@ -242,16 +242,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the model accepts, with all their columns: each row
-    is judged where it stands, without a join."""
+    is judged where it stands, without a join, and only its text goes to
+    Python. Rows of a table without texts score as empty ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    bound_batches(docs.sparkSession)
-    if [c for c in docs.columns if c == "text"] != ["text"]:
-        raise ValueError("one column text is needed")
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, most=2 << 20):
-            good = shared.value.score(document_statistics(block.column("text"))) >= 0.5
-            yield block.filter(pa.array(good))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        parts = [np.zeros(0, bool)]
+        for block in blocks([pa.RecordBatch.from_arrays([texts], names=["text"])]):
+            parts.append(shared.value.score(document_statistics(block.column("text"))) >= 0.5)
+        return pa.array(np.concatenate(parts))
 
-    return docs.mapInArrow(made, docs.schema)
+    own = Numbered(docs)
+    return own.restored(own.rows.where(good(own.column("text", "string"))))
 

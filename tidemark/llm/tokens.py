@@ -8,8 +8,10 @@ in one task and writes three flat files a range into the shared folder:
 * ``part-NNNNN.off``  n+1 64-bit offsets, in ids, one for each document's start;
 * ``part-NNNNN.doc``  n 64-bit document ids (the smallest value for null).
 
-Each file appears by rename, so a repeated or speculative task is harmless, and
-no executor's own disk holds a result. ``bases`` turns the ranges' totals (a row
+Files are written block by block and appear by rename, so a range's size isn't
+held in memory, a repeated or speculative task is harmless, and no executor's
+own disk holds a result. A text of more than a block goes to the encoder in
+pieces cut at white space, where the tokenizer allows. ``bases`` turns the ranges' totals (a row
 a range, never a row a document) into prefix sums, and ``read_back``
 memory-maps the files again.
 
@@ -31,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, map_file, pick, ragged_take, task_count, work_path, write_file
+from .common import BLOCK_BYTES, NewFile, Words, blocks, map_file, pick, ragged_take, task_count, work_path
 
 PARTS = "part int, path string, width int, n_docs long, n_tokens long"
 BASES = PARTS + ", base long"
 NULL_ID = -(1 << 63)
 #: Distinct pieces whose ids a worker keeps; beyond, the store is emptied.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 100_000
+#: Documents of one batch that is read back.
+READ_ROWS = 10_000
 
 #: Characters for which lower-casing, composition and classes of letters are
 #: plain: printable ASCII and Latin-1 letters.
@@ -79,9 +83,9 @@ class WordEncoder:
     def _splits_on_space(self) -> bool:
         """Whether the tokenizer is of the kind described above; others are
         given whole texts."""
-        probe = "it's A b, 12\nÉté  they'll <x> 7th..."
+        probes = ("it's A b, 12\nÉté  they'll <x> 7th...", "don't WON'T 'tis we've I'm o'clock's 'S'LL", "a1b2 3.14 x==y (z) \\n //", "ÀÉÎÕÜß ÿ÷× naïve-ÇA", "\t tab\x0bvt \x0c \r\n end", "'' \"q\" `~!@#$%^&*()_+-={}[]|:;<>?,./")
         try:
-            return self.tokenizer.encode(probe, add_special_tokens=False).ids == [i for w in probe.split() for i in self._word(w)]
+            return all(self.tokenizer.encode(x, add_special_tokens=False).ids == [i for w in x.split() for i in self._word(w)] for x in probes)
         finally:
             self.known.clear()
 
@@ -121,6 +125,26 @@ class WordEncoder:
         return ids, np.diff(bounds)
 
 
+def _pieces(texts: pa.Array, split: bool, most: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array, bool]]:
+    """(first row, texts, whether they end their rows): a block as it is, or, of
+    one long text, pieces of about ``most`` bytes, cut at white space."""
+    raw = texts[0].as_buffer() if split and len(texts) == 1 and texts[0].is_valid else b""
+    if len(raw) <= most:
+        yield 0, texts, True
+        return
+    view, at = memoryview(raw), 0
+    while at < len(raw):
+        to = at + most
+        while to < len(raw):  # the next white space
+            found = re.search(rb"[ \t\n\v\f\r]", view[to : to + most])
+            to = to + found.start() + 1 if found else to + most
+            if found:
+                break
+        to = min(to, len(raw))
+        yield 0, pa.array([str(view[at:to], "utf-8")]), to == len(raw)
+        at = to
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -145,22 +169,35 @@ def encode_to_files(docs: DataFrame, tokenizer_path: str, out_dir: str | None =
         encoder = _encoder(tokenizer_path)
         part = TaskContext.get().partitionId()
         path = f"{out_dir}/part-{part:05d}"
-        ids, counts, docs_in = [], [], []
-        for block in blocks(batches):
-            got, n = encoder.encode(block.column("text"), end_id, dtype)
-            ids.append(got)
-            counts.append(n)
-            docs_in.append(block.column("doc_id").fill_null(NULL_ID).to_numpy())
-        if not counts:
-            return
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype("<i8")
-        write_file(path + ".ids", ids)
-        write_file(path + ".off", [offsets])
-        write_file(path + ".doc", [np.concatenate(docs_in).astype("<i8")])
-        yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "width": width, "n_docs": len(offsets) - 1, "n_tokens": int(offsets[-1])}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        files, n_docs, at = [], 0, 0
+        try:
+            for block in blocks(batches):
+                if not files:
+                    files = [NewFile(path + x) for x in (".ids", ".off", ".doc")]
+                    files[1].write(np.zeros(1, "<i8"))
+                counts = np.zeros(block.num_rows, np.int64)
+                for row, texts, last in _pieces(block.column("text"), encoder.by_word):
+                    got, n = encoder.encode(texts, end_id, dtype)
+                    if not last:  # the end id follows a text's last piece
+                        got, n = got[:-1], n - 1
+                    files[0].write(got)
+                    counts[row : row + len(n)] += n
+                files[1].write((at + np.cumsum(counts)).astype("<i8"))
+                files[2].write(block.column("doc_id").fill_null(NULL_ID).to_numpy().astype("<i8"))
+                n_docs, at = n_docs + block.num_rows, at + int(counts.sum())
+            for x in files:
+                x.done()
+        except BaseException:
+            for x in files:
+                x.drop()
+            raise
+        if files:
+            yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "width": width, "n_docs": n_docs, "n_tokens": at}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     rows = pick(docs, doc_id="long", text="string")
-    ranged = rows.repartitionByRange(task_count(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    first = F.col("doc_id").asc_nulls_first()
+    # a text's beginning lets rows of one id go to several ranges
+    ranged = rows.repartitionByRange(task_count(docs), first, F.substring("text", 1, 32)).sortWithinPartitions(first, "text")
     parts = ranged.mapInArrow(write, PARTS).collect()  # a row a range
     return spark.createDataFrame(parts, PARTS)
 
@@ -185,7 +222,10 @@ def read_back(based: DataFrame) -> DataFrame:
                 ids = map_file(row["path"] + ".ids", f"<u{row['width']}")
                 offsets = map_file(row["path"] + ".off", "<i8")
                 doc = np.array(map_file(row["path"] + ".doc", "<i8"))
-                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NULL_ID), pa.array(offsets[:-1] + row["base"]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for a in range(0, len(doc), READ_ROWS):
+                    own = np.array(offsets[a : a + READ_ROWS + 1])
+                    crc = [zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+                    ids_of = doc[a : a + READ_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids_of, mask=ids_of == NULL_ID), pa.array(own[:-1] + row["base"]), pa.array(np.diff(own)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return based.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -24,8 +24,8 @@ ends, and only that block's rows are ordered. No source's documents ever meet in
 one task, so a source may hold any part of all rows.
 
 Defined results: a null source is the source ''; a null text has no tokens; rows
-without tokens are used as often as their source's others; repeated rows are
-used alike; a table without tokens is used once, each source weighing its share
+without tokens are used as often as their source's others; repeated rows (equal
+id and text) are used alike, so a budget may be missed by their number; a table without tokens is used once, each source weighing its share
 of rows; an empty table gives no row. ``realise`` keeps all columns of
 documents; columns named epoch or position are replaced.
 """
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pick, stored
+from .common import Numbered, pick, stored
 
 REPETITION_LIMIT = 2.0
 BLOCK_TOKENS = 1 << 20
@@ -55,9 +55,15 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def key_of(doc_id: Column, epoch: Column, seed: int = SEED) -> Column:
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """What a document's places are drawn from: its id and text, so that
+    documents without ids, or with equal ones, have places of their own."""
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
+
+
+def key_of(row: Column, epoch: Column, seed: int = SEED) -> Column:
     """A document's place in the permutation of a pass: 62 bits."""
-    return F.shiftrightunsigned(F.xxhash64(doc_id, epoch.cast("int"), F.lit(seed)), 64 - KEY_BITS)
+    return F.shiftrightunsigned(F.xxhash64(row, epoch.cast("int"), F.lit(seed)), 64 - KEY_BITS)
 
 
 def _section(shares: DataFrame, fits) -> float:
@@ -84,7 +90,7 @@ def plan(docs: DataFrame, budget: int | None = None, repetition_limit: float = R
     """A row a source: source, n_docs, tokens, share, weight, target, passes,
     full, cut. The exponent is the same in each row (``exponent``)."""
     named = pick(docs, doc_id="long", source="string", text="string")
-    rows = stored(named.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens_of(F.col("text")).alias("n")), "mixing")
+    rows = stored(named.select(row_hash(F.col("doc_id"), F.col("text")).alias("row"), F.coalesce("source", F.lit("")).alias("source"), tokens_of(F.col("text")).alias("n")), "mixing")
     sums = rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("tokens"))
     total = sums.agg(F.sum("tokens"), F.sum("n_docs"), F.count("*")).first()
     all_tokens, all_docs, n_sources = (int(x or 0) for x in total)
@@ -118,13 +124,13 @@ def plan(docs: DataFrame, budget: int | None = None, repetition_limit: float = R
     # where the last pass ends: block sums, then the rows of one block a source
     unit = F.col("n") if all_tokens else F.lit(1).cast("long")
     open_rows = rows.join(_small(aims, n_sources).where("rest > 0").select("source", "full", "rest", "shift"), "source")
-    keyed = open_rows.select("source", "doc_id", unit.alias("n"), "rest", key_of(F.col("doc_id"), F.col("full"), seed).alias("key"), F.expr(f"shiftrightunsigned(shiftrightunsigned(xxhash64(doc_id, full, {seed}), {64 - KEY_BITS}), shift)").alias("block"))
+    keyed = open_rows.select("source", unit.alias("n"), "rest", "shift", key_of(F.col("row"), F.col("full"), seed).alias("key")).withColumn("block", F.expr("shiftrightunsigned(key, shift)")).drop("shift")
     blocks = keyed.groupBy("source", "block").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
     ordered = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ends = blocks.withColumn("before", F.coalesce(F.sum("n").over(ordered), F.lit(0))).where("before < rest and before + n >= rest").select("source", "block", "before")
     # ``ends`` has a row a source; the block's rows are at most about a block
     inside = keyed.join(_small(stored(ends, "ends"), n_sources), ["source", "block"])
-    running = Window.partitionBy("source").orderBy("key", "doc_id", "n").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("source").orderBy("key", "n").rowsBetween(Window.unboundedPreceding, -1)
     cuts = inside.withColumn("done", F.col("before") + F.coalesce(F.sum("n").over(running), F.lit(0))).where("done < rest").groupBy("source").agg(F.max("key").alias("cut"))
     out = aims.join(cuts, "source", "left").select("source", "n_docs", "tokens", F.col("p").alias("share"), "weight", "target", "passes", "full", F.coalesce("cut", F.lit(-1).cast("long")).alias("cut"), "exponent")
     return stored(out, "plan")
@@ -139,11 +145,13 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
 
 def realise(docs: DataFrame, mix: DataFrame, seed: int = SEED) -> DataFrame:
     """Documents' rows, one for each use, with epoch and position in [0, 1)."""
-    columns = [c for c in docs.columns if c.lower() not in ("epoch", "position")]
-    short = mix.select(F.col("source").alias("__s"), F.col("full").alias("__full"), F.col("cut").alias("__cut"), F.col("passes").alias("__passes"))
-    joined = docs.join(_small(short, mix.count()), F.coalesce(docs["source"], F.lit("")) == F.col("__s"))
-    uses = F.col("__full") + (key_of(F.col("doc_id"), F.col("__full"), seed) <= F.col("__cut")).cast("int")
-    rows = joined.withColumn("epoch", F.explode(F.when(uses > 0, F.sequence(F.lit(0), uses - 1)).otherwise(F.expr("cast(array() as array<int>)"))))
+    own = Numbered(docs)
+    columns = [(n, c) for n, c in zip(own.names, own.own, strict=True) if c.lower() not in ("epoch", "position")]
+    short = mix.select(F.col("source").alias("mix_source"), "full", "cut", "passes")
+    rows = own.rows.withColumn("row", row_hash(own.column("doc_id", "long"), own.column("text", "string"))).withColumn("own_source", F.coalesce(own.column("source", "string"), F.lit("")))
+    joined = rows.join(_small(short, mix.count()), F.col("own_source") == F.col("mix_source"))
+    uses = F.col("full") + (key_of(F.col("row"), F.col("full"), seed) <= F.col("cut")).cast("int")
+    used = joined.withColumn("epoch", F.explode(F.when(uses > 0, F.sequence(F.lit(0), uses - 1)).otherwise(F.expr("cast(array() as array<int>)"))))
     # positions of a pass spread over that pass's part of the stream
-    position = (F.col("epoch") + key_of(F.col("doc_id"), F.col("epoch"), seed) / F.lit(float(1 << KEY_BITS))) / F.greatest(F.col("__passes"), F.col("epoch") + 1.0)
-    return rows.select(*[F.col(f"`{c}`") for c in columns], "epoch", position.alias("position"))
+    position = (F.col("epoch") + key_of(F.col("row"), F.col("epoch"), seed) / F.lit(float(1 << KEY_BITS))) / F.greatest(F.col("passes"), F.col("epoch") + 1.0)
+    return used.select(*[n for n, _ in columns], "epoch", position.alias("position")).toDF(*[c for _, c in columns], "epoch", "position")

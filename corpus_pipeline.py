@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, mixing, near_dedup, quality, tokens
-from tidemark.llm.common import stored
+from tidemark.llm.common import Numbered, forget, row_key, stored
 from tidemark.llm.queries import table, tokenizer_path
 
 #: No SQL expresses the classifier; the stages are tested against brute force.
@@ -19,31 +19,41 @@ ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from labels, accepts."""
+    """Documents that the classifier, learned from labels, accepts. A null
+    text is judged as an empty one; without labels all documents stay; columns
+    are kept whatever their names; an empty table stays empty."""
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8)."""
+    """One document of each group of near duplicates (five words, 0.8): the
+    one with the smallest id. Documents without words stay; of repeated rows one
+    stays; an empty table stays empty."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark. Rows are matched by a
-    hash of id and text, so null and repeated ids are judged row by row."""
-    key = F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("text"))
-    index = decontam.build_index(docs.select(key.alias("doc_id"), "text"))
-    hit = stored(decontam.search(index, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "hit")
-    return docs.withColumn("__key", key).join(hit, "__key", "left_anti").select(*docs.columns)
+    64-bit hash of id and text, so null and repeated ids are judged row by row;
+    null texts stay; an empty test set or table changes nothing."""
+    own = Numbered(docs)
+    rows = own.rows.withColumn("key", F.xxhash64(row_key(own.column("doc_id", "long"), own.column("text", "string"))))
+    index = decontam.build_index(rows.select(F.col("key").alias("doc_id"), own.column("text", "string").alias("text")))
+    hit = stored(decontam.search(index, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "hit")
+    forget(index)
+    return own.restored(rows.join(hit, "key", "left_anti"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight asks, once at least."""
-    return mixing.realise(docs, mixing.plan(docs)).select(*docs.columns)
+    """Each document as often as its source's weight asks, once at least. A
+    null source is a source; rows without tokens are used like their source's
+    others; an empty table stays empty."""
+    return mixing.realise(docs.toDF(*(f"{c}{'_' * (c.lower() in ('epoch', 'position'))}" for c in docs.columns)), mixing.plan(docs)).drop("epoch", "position").toDF(*docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, and what they hold of each document."""
+    """Token files, and what they hold of each document, a row for each use
+    of it. A null text has the end id only; an empty table has no row."""
     return tokens.read_back(tokens.bases(tokens.encode_to_files(docs, tokenizer_path())))
 
 

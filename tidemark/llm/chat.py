@@ -7,9 +7,10 @@ before is its last turn's span; an output that does not begin with the one
 before means that the template rewrites history, and where it first differs is
 reported.
 
-``TagTemplate`` marks turns by ``<s>role`` and ``</s>`` and escapes control
-strings inside roles and texts by a backslash, reversibly; ``parse`` reads turns
-back from formatted output alone.
+``TagTemplate`` marks turns by ``<s>role`` and ``</s>`` and breaks control
+strings inside roles and texts by a backslash after their first character,
+reversibly, so that no escaped text holds one; ``parse`` reads turns back from
+formatted output alone.
 
 ``format_conversations`` sorts each conversation's turns and formats it. Rows
 are dealt by ``conv_id``; one conversation is one output text, so its own turns
@@ -39,20 +40,20 @@ FORMATTED = "conv_id long, n_turns int, formatted string, spans array<struct<sta
 
 
 class TagTemplate:
-    """``<s>role\\ntext</s>\\n`` a turn. Reserved strings inside roles and texts,
-    and the backslash itself, get a backslash before them."""
+    """``<s>role\\ntext</s>\\n`` a turn. Reserved strings inside roles and texts
+    get a backslash after their first character, and a backslash is doubled."""
 
     # Strings that formatted output reserves.
     RESERVED = ("<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 
     def __init__(self) -> None:
-        names = "|".join(re.escape(x) for x in self.RESERVED)
-        self._escape = re.compile(rf"\\|(?={names})")
+        broken = "|".join(f"{re.escape(x[0])}(?={re.escape(x[1:])})" for x in self.RESERVED)
+        self._escape = re.compile(rf"\\|{broken}")
         self._turn = re.compile(r"<s>((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.|<(?!/s>))*)</s>\n", re.DOTALL)
         self._back = re.compile(r"\\(.)", re.DOTALL)
 
     def escape(self, text: str) -> str:
-        return self._escape.sub(lambda m: "\\\\" if m[0] else "\\", text)
+        return self._escape.sub(lambda m: m[0] + "\\", text)
 
     def unescape(self, text: str) -> str:
         return self._back.sub(r"\1", text)

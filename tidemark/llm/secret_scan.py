@@ -31,7 +31,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import Numbered, stored
 
 #: Kind -> (pattern, group of the secret part, its least length).
 #: The first three are the base kinds, in their order; a match whose secret
@@ -105,10 +105,14 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def find_spans(docs: DataFrame, repo: str = "source", owner: str = "source") -> DataFrame:
-    """doc_id, repo, owner, n_chars, spans (by start, then kind)."""
-    named = pick(docs, doc_id="long", text="string", **{c: "string" for c in {repo, owner}})
-    rows = named.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(repo, F.lit("")).alias("repo"), F.coalesce(owner, F.lit("")).alias("owner"))
+def find_spans(docs: DataFrame, repo: str = "source", owner: str | None = None) -> DataFrame:
+    """doc_id, repo, owner, n_chars, spans (by start, then kind). ``owner``: a
+    column; None: the part of the repository's name before its first slash
+    (``owner/repository``; all of it without one)."""
+    own = Numbered(docs)
+    of = lambda name: F.coalesce(own.column(name, "string"), F.lit(""))
+    holder = of(owner) if owner else F.substring_index(of(repo), "/", 1)
+    rows = own.rows.select(own.column("doc_id", "long").alias("doc_id"), of("text").alias("text"), of(repo).alias("repo"), holder.alias("owner"))
     empty = F.expr(f"cast(array() as {SPANS})")
     parts = [F.when(_may_hold(k), _spans(k, i)).otherwise(empty) for i, k in enumerate(KINDS)]
     return rows.select("doc_id", "repo", "owner", F.length("text").cast("long").alias("n_chars"), F.array_sort(F.concat(*parts)).alias("spans"))
@@ -127,7 +131,7 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, repo: str = "source", owner: str = "source") -> DataFrame:
+def scan(docs: DataFrame, repo: str = "source", owner: str | None = None) -> DataFrame:
     """A row a document: counts and digest of base spans, all spans, and how
     many of its secrets are examples and look live."""
     spans = stored(find_spans(docs, repo, owner).withColumn("row", F.monotonically_increasing_id()), "spans")

@@ -176,3 +176,48 @@ def test_key_bounds():
     assert K.prefix_successor(b"a\xff") == b"b" and K.prefix_successor(b"\xff") is None and K.prefix_successor("az") == "a{"
     assert c.escape(b"a\0\xff") == "a\\x00\\xff"
     assert c.consume_decimal("12x") == (12, "x") and c.consume_decimal("x") is None and c.consume_decimal("18446744073709551616") is None
+
+
+def test_many_values_at_once():
+    rng = random.Random(6)
+    values = [rng.randbytes(rng.choice([0, 1, 2, 3, 4, 5, 7, 8, 16, 33])) for _ in range(400)] + [rng.randbytes(5000)]
+    assert c.hash32_many(values, 0xBC9F1D34).tolist() == [c.hash32(v, 0xBC9F1D34) for v in values]
+    assert c.crc32c_many(values).tolist() == [c.crc32c(v) for v in values]
+    policy = c.BloomPolicy(12)
+    made = policy.create(values[:200])
+    assert policy.may_match_many(values, made).tolist() == [policy.may_match(v, made) for v in values]
+    assert policy.may_match_many(values[:200], made).all() and policy.may_match_many(values, b"").sum() == 0
+
+
+class FirstBytes:
+    """A policy of one's own: the set of first bytes."""
+
+    name = "first-bytes"
+
+    def create(self, keys):
+        return bytes(sorted({k[0] for k in keys if k}))
+
+    def may_match(self, key, filter_):
+        return not key or key[0] in filter_
+
+
+def test_filter_policies_of_ones_own(spark):
+    from tidemark.functions import blooms
+
+    table = c.write_table([(b"a%02d" % i, 1, 1, b"v") for i in range(50)] + [(b"c", 1, 1, b"w")], policy=FirstBytes())
+    assert c.table_get(table, b"a07", policy=FirstBytes()) == (1, 1, b"v") and c.table_get(table, b"b", policy=FirstBytes()) is None
+    assert c.table_get(table, b"c", policy=c.BloomPolicy()) == (1, 1, b"w")  # another policy's filters are passed over
+    keys = spark.createDataFrame([("a1", 0), ("a2", 0), ("b1", 1)], "key string, file int")
+    filters = blooms.build(keys, policy=FirstBytes())
+    probes = spark.createDataFrame([("a9", 0), ("b9", 0), ("b1", 1), ("a1", 1)], "key string, file int")
+    got = {(r.key, r.file): r.may_match for r in blooms.probe(filters, probes, FirstBytes()).collect()}
+    assert got == {("a9", 0): True, ("b9", 0): False, ("b1", 1): True, ("a1", 1): False}
+
+
+def test_scalars_of_columns(spark):
+    from tidemark.functions import scalars
+
+    rows = [(bytearray(v),) for v in (b"", b"a", b"123456789", b"x" * 100)] + [(None,)]
+    got = spark.createDataFrame(rows, "data binary").select("data", scalars.crc32c("data").alias("c"), scalars.bloom_hash("data").alias("h")).collect()
+    for r in got:
+        assert (r.c, r.h) == ((None, None) if r.data is None else (c.crc32c(bytes(r.data)), c.hash32(bytes(r.data), c.BloomPolicy.seed)))

@@ -109,3 +109,87 @@ def test_streams_and_sources(spark, tmp_path):
     assert spark.read.format("wire_log").load(str(wire)).first().crc_ok
     assert spark.read.format("wire_catalog").load(str(wire)).first().added[0].file_size == 99
     assert {r.kind for r in datasources.listing(spark, f"file://{wire}").collect()} == {"table", "log", "catalog"}
+
+
+def test_positions_at_size(spark):
+    """Wide rows and more ranges than one sample shows."""
+    rows = spark.range(0, 500_000, 1, 16).select(F.concat(F.lit("k"), F.xxhash64("id").cast("string")).alias("key"), F.repeat(F.lit("v"), 60).alias("value"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = resolve.positions(rows, F.col("key").desc())
+        assert got.columns == ["key", "value", "pos"]
+        x = got.agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.countDistinct("pos").alias("n")).first()
+        assert (x.a, x.b, x.n) == (1, 500_000, 500_000)
+        sample = [r.key for r in got.where("pos % 9973 = 0").orderBy("pos").collect()]
+        assert sample == sorted(sample, reverse=True)
+        least = got.orderBy("key").first()
+        assert least.pos == 500_000
+        probes = got.where("pos % 25000 = 0").select(F.concat("key", F.lit("!")).alias("target"), F.col("pos").alias("p"))
+        changes = rows.select("key", F.lit(1).alias("seq"), F.lit(1).alias("op"), "value")
+        found = {r.p: r.found for r in resolve.seek_each(changes, probes).collect()}
+        after = {r.pos + 1: r.key for r in got.where("pos % 25000 = 24999").collect()}
+        assert found == after
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert resolve.positions(rows.where("1 = 0"), "key").count() == 0
+
+
+def test_wire_sinks(spark, tmp_path):
+    import pytest
+
+    from tidemark.schema import Corruption
+    from tidemark.sources import codec, datasources
+
+    datasources.register(spark)
+    folder = str(tmp_path / "tables")
+    rows = frame(spark, [(b"k%03d" % (i % 50), i + 1, int(i % 7 != 0), b"v%d" % i) for i in range(400)]).withColumn("op", F.col("op").cast("byte"))
+    tables = rows.repartitionByRange(3, "key").sortWithinPartitions("key", F.col("seq").desc())
+    tables.write.format("wire_table").mode("append").option("maxFileSize", 1500).option("firstNumber", 7).save(folder)
+    names = sorted(p.name for p in (tmp_path / "tables").iterdir())
+    assert names[0] == "000007.ldb" and len(names) > 4
+    want = sorted((bytes(r.key), r.seq, r.op, bytes(r.value)) for r in rows.collect())
+    both = [spark.read.format("wire_table").load(folder), datasources.read_files(spark, "wire_table", f"file://{folder}")]
+    for got in both:
+        assert sorted((bytes(r.key), r.seq, r.op, bytes(r.value)) for r in got.collect()) == want
+    assert {bytes(r.key) for r in both[0].where(F.col("key") < F.lit(bytearray(b"k003"))).collect()} == {b"k000", b"k001", b"k002"}
+    with pytest.raises(Exception, match="sorted"):
+        rows.orderBy("seq").coalesce(1).write.format("wire_table").mode("append").save(str(tmp_path / "bad"))
+    assert not [p for p in (tmp_path / "bad").glob("*.ldb")]
+
+    # a table under its older name, and beside its newer one
+    (tmp_path / "tables" / "000007.ldb").rename(tmp_path / "tables" / "000007.sst")
+    assert spark.read.format("wire_table").load(folder).count() == 400
+    (tmp_path / "tables" / "000007.ldb").write_bytes((tmp_path / "tables" / "000007.sst").read_bytes())
+    assert spark.read.format("wire_table").load(folder).count() == 400
+
+    logs = str(tmp_path / "logs")
+    rows.withColumn("batch_id", F.expr("(seq - 1) div 10")).coalesce(1).sortWithinPartitions("seq").write.format("wire_batches").mode("append").save(logs)
+    assert sorted((bytes(r.key), r.seq, r.op) for r in spark.read.format("wire_batches").load(logs).collect()) == [x[:3] for x in want]
+    records = spark.read.format("wire_log").load(logs)
+    assert records.count() == 40 and records.where("not crc_ok").count() == 0
+    again = str(tmp_path / "again")
+    records.coalesce(1).sortWithinPartitions("offset").select("payload").write.format("wire_log").mode("append").save(again)
+    assert (tmp_path / "again" / "000001.log").read_bytes() == (tmp_path / "logs" / "000001.log").read_bytes()
+    data = bytearray((tmp_path / "logs" / "000001.log").read_bytes())
+    data[20] ^= 1
+    (tmp_path / "logs" / "000001.log").write_bytes(data)
+    assert spark.read.format("wire_log").load(logs).where("not crc_ok").count() == 1
+    with pytest.raises(Exception, match=Corruption.prefix):
+        spark.read.format("wire_log").option("paranoid", "true").load(logs).collect()
+
+
+def test_newest_stream(spark, tmp_path):
+    from tidemark.streaming import tail
+
+    tail.use_state_store(spark)
+    folder = str(tmp_path / "changes")
+    for part in ([(b"a", 1, 1, b"x"), (b"a", 3, 0, b""), (b"b", 5, 1, b"new")], [(b"b", 2, 1, b"late"), (b"c", 6, 1, b"c")]):
+        frame(spark, part).withColumn("op", F.col("op").cast("byte")).write.mode("append").parquet(folder)
+    query = tail.newest_stream(tail.read_changes(spark, folder)).writeStream.outputMode("update").format("memory").queryName("newest").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {}
+    for r in spark.table("newest").collect():
+        got[bytes(r.key)] = max(got.get(bytes(r.key), (0, 0)), (r.seq, r.op))
+    assert got == {b"a": (3, 0), b"b": (5, 1), b"c": (6, 1)}
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

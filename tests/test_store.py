@@ -178,3 +178,220 @@ def test_model(spark, path):
             assert contents(db) == model
     assert list(db.cursor(page=3)) == sorted(model.items())
     db.close()
+
+
+def damaged(db, number, data):
+    db.files.remove(f"_commits/{number:012d}.json")
+    db.files.create(f"_commits/{number:012d}.json", data)
+
+
+def three_flushes(spark, path, **options):
+    with S.Store.open(spark, path, S.Options(create_if_missing=True, **options)) as db:
+        for k in (b"x", b"y", b"z"):
+            db.put(k, b"v" + k)
+            db.flush()
+    return db
+
+
+def test_torn_commits(spark, path):
+    db = three_flushes(spark, path)
+    last = db.version.number
+    whole = {n: db.files.read(f"_commits/{n:012d}.json") for n in range(1, last + 1)}
+    for n in range(2, last):
+        for data in (whole[n][:-9], b"", whole[n].replace(b"runs", b"rums")):
+            damaged(db, n, data)
+            with pytest.raises(Corruption):
+                S.Store.open(spark, path)
+        damaged(db, n, whole[n])
+    damaged(db, last, whole[last].replace(b"runs", b"rums"))  # complete, and not what was written
+    with pytest.raises(Corruption):
+        S.Store.open(spark, path)
+    damaged(db, last, whole[last][:-9])  # a crash while it was written
+    with S.Store.open(spark, path) as db:
+        assert set(contents(db)) == {b"x", b"y"}
+        assert db.files.names("lost")  # the run that no commit names isn't deleted
+        db.put(b"after", b"1")
+        db.flush()
+    with S.Store.open(spark, path) as db:
+        assert set(contents(db)) == {b"x", b"y", b"after"}
+        db.files.remove(f"_commits/{2:012d}.json")
+    with pytest.raises(Corruption, match="missing"):
+        S.Store.open(spark, path)
+
+
+def test_checkpoints_shorten_the_replay(spark, path, monkeypatch):
+    monkeypatch.setattr(S, "CHECKPOINT", 2)
+    db = three_flushes(spark, path)
+    assert any(n.endswith(".checkpoint") for n in db.files.names("_commits"))
+    for n in (1, 2):  # replaced by the checkpoint
+        db.files.remove(f"_commits/{n:012d}.json")
+    with S.Store.open(spark, path) as db:
+        assert set(contents(db)) == {b"x", b"y", b"z"} and db.version.last_sequence == 3
+
+
+def test_a_crash_does_not_lock_the_store(spark, path):
+    import json
+    import subprocess
+
+    gone = subprocess.Popen(["true"])
+    gone.wait()
+    db = three_flushes(spark, path)
+    lock = lambda **x: json.dumps({"owner": "o", "host": S.socket.gethostname(), "pid": 1, "seconds": 60} | x).encode()
+    db.files.create("LOCK", lock())  # a process that is there
+    with pytest.raises(IOFailure, match="lock"):
+        S.Store.open(spark, path)
+    db.files.remove("LOCK")
+    db.files.create("LOCK", lock(host="elsewhere"))
+    with pytest.raises(IOFailure, match="lock"):
+        S.Store.open(spark, path)
+    for left in (lock(pid=gone.pid), lock(host="elsewhere", seconds=-1), b"", lock()[:20]):
+        db.files.remove("LOCK")
+        db.files.create("LOCK", left)
+        with S.Store.open(spark, path) as again:
+            assert set(contents(again)) == {b"x", b"y", b"z"}
+        assert not again.files.exists("LOCK")
+
+
+def test_a_lost_lease_ends_writes(spark, path):
+    with S.Store.open(spark, path, S.Options(create_if_missing=True, lease=0.3)) as db:
+        db.put(b"a", b"1")
+        first = db.files.modified("LOCK")
+        import time
+
+        time.sleep(0.8)
+        assert db.files.modified("LOCK") > first and db.lease.held()  # renewed
+        db.files.remove("LOCK")
+        db.files.publish("LOCK", b'{"owner": "another", "host": "h", "pid": 1, "seconds": 1e9}')
+        with pytest.raises(IOFailure, match="taken over"):
+            db.flush()
+    assert db.files.exists("LOCK")
+
+
+def test_readers_survive_compaction(spark, path):
+    with S.Store.open(spark, path, S.Options(create_if_missing=True, retention=0)) as db:
+        for i in range(6):
+            db.put(b"k%d" % (i % 3), b"v%d" % i)
+            if i % 2:
+                db.flush()
+        pin, cursor = db.snapshot(), db.cursor(page=1)
+        cursor.seek_to_first()
+        db.delete(b"k0")
+        db.compact_range()
+        assert [k for k, _ in cursor] == [b"k0", b"k1", b"k2"] and set(contents(db, pin)) == {b"k0", b"k1", b"k2"}
+        assert db.obsolete
+        cursor.close()
+        assert not db.obsolete and set(contents(db)) == {b"k1", b"k2"}
+        late = db.cursor()
+        db.files.remove(next(iter(db.version.runs.values())).path)
+        assert not late.seek_to_first().valid and isinstance(late.error, IOFailure)
+        with pytest.raises(IOFailure):
+            list(late)
+
+
+def test_frames_survive_compaction_for_a_time(spark, path):
+    with S.Store.open(spark, path, CREATE) as db:
+        for v in (b"1", b"2"):
+            db.write(WriteBatch().put(b"a", v).put(b"b", v))
+            db.flush()
+        frame = db.state()
+        db.compact_range()
+        assert {bytes(r.key): bytes(r.value) for r in frame.collect()} == {b"a": b"2", b"b": b"2"} and len(db.obsolete) == 2
+
+
+@pytest.mark.parametrize("name", ["numeric_suffix", "reverse", "by_length"])
+def test_orders(spark, path, name):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import keys as K
+
+    K.register_comparator(K.Comparator("by_length", LENGTH, len))
+    with pytest.raises(ValueError):
+        K.register_comparator(K.Comparator("bytewise", F.hex))
+    order = K.COMPARATORS[name]
+    keys = sorted([b"k%d" % i for i in (1, 2, 9, 10, 11, 100)] + [b"", b"k", b"\xff", b"k1\0"], key=order.of)
+    with S.Store.open(spark, path, S.Options(create_if_missing=True, comparator=name)) as db:
+        for i, k in enumerate(keys[::-1]):
+            db.put(k, b"%d" % i)
+            if i % 4 == 3:
+                db.flush()
+        for _ in range(2):
+            assert [k for k, _ in db.cursor(page=2)] == keys
+            assert [bytes(r.key) for r in db.scan(start=keys[2], limit=keys[7]).collect()] == keys[2:7]
+            assert [bytes(r.key) for r in db.scan(start=keys[2], limit=keys[7], reverse=True).collect()] == keys[2:7][::-1]
+            assert db.cursor(page=2).seek(keys[5]).key == keys[5] and db.cursor(page=2).seek(keys[5]).prev().key == keys[4]
+            assert db.get(keys[3]) is not None and set(db.multi_get(keys).values()).isdisjoint({None})
+            db.compact_range()
+        assert db._range(list(db.version.runs.values())) == (keys[0], keys[-1])
+        assert db.approximate_sizes([(keys[0], keys[-1]), (keys[-1], keys[0])])[1] == 0
+
+
+def LENGTH(key):
+    from pyspark.sql import functions as F
+
+    return F.octet_length(key)
+
+
+def test_runs_have_a_bounded_size(spark, path):
+    from pyspark.sql import functions as F
+
+    with S.Store.open(spark, path, S.Options(create_if_missing=True, max_file_size=1 << 20, compression="none", bloom_bits=10)) as db:
+        noise = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))).cast("binary"), 512) for i in range(4)])
+        rows = spark.range(12_000).select(F.lpad(F.col("id").cast("string"), 8, "0").cast("binary").alias("key"), F.lit(1).alias("op"), noise.cast("binary").alias("value"), "id")
+        for part in range(2):
+            db.write_df(rows.where(F.col("id") % 2 == part), "id")
+        db.compact_range()
+        runs = db.version.level(max(r.level for r in db.version.runs.values()))
+        assert len(runs) > 4 and max(r.file_size for r in runs) < 2 << 20 and sum(r.num_entries for r in runs) == 12_000
+        assert all(a.largest_key < b.smallest_key for a, b in zip(runs[:-1], runs[1:]))
+        some = db.changelog(b"00000005", b"00000009").inputFiles()
+        assert len(some) == 1  # the others can't hold the keys
+        assert db.get(b"00000007", S.ReadOptions(verify_checksums=True)) is not None
+
+
+def test_lookups_that_pass_runs_over_merge_them(spark, path, monkeypatch):
+    monkeypatch.setattr(S, "LEAST_SEEKS", 3)
+    with S.Store.open(spark, path, CREATE) as db:
+        for v in (b"1", b"2"):
+            db.write(WriteBatch().put(b"a", v).put(b"c", v))
+            db.flush()
+        db.seeks.clear()
+        before = len(db.version.runs)
+        assert before == 2
+        for _ in range(3):
+            assert db.get(b"b") is None
+        assert db.wanted is not None
+        db.put(b"d", b"x")
+        assert db.wanted is None and len(db.version.runs) < before and db.get(b"a") == b"2"
+
+
+def test_level_0_is_bounded(spark, path):
+    with S.Store.open(spark, path, CREATE) as db:
+        for i in range(14):
+            db.write(WriteBatch().put(b"a", b"%d" % i).put(b"z", b"%d" % i))
+            db.flush()
+        assert len(db.version.level(0)) <= 9 and db.get(b"a") == b"13"
+
+
+def test_repair_turns_logs_into_runs_and_sets_bad_files_aside(spark, path):
+    db = three_flushes(spark, path)
+    with S.Store.open(spark, path) as db:
+        db.put(b"tail", b"log only")
+        bad = next(iter(db.version.runs.values())).path
+        db.files.remove(bad)
+        db.files.create(bad, b"not parquet")
+        db.files.remove("_commits")
+    S.repair(spark, path)
+    with S.Store.open(spark, path) as db:
+        assert len(contents(db)) == 3 and db.get(b"tail") == b"log only" and not db.pending
+        assert any("parquet" in n for n in db.files.names("lost"))
+
+
+def test_two_writers_of_one_log(spark, path):
+    from tidemark.sources import codec
+
+    with S.Store.open(spark, path, CREATE) as db:
+        db.put(b"a", b"1")
+        other = WriteBatch().put(b"b", b"2").put(b"c", b"3")
+        db.files.create("_log/" + f"{2:020d}.batch", codec.write_log([other.encode(2)]))
+        assert db.write(WriteBatch().put(b"d", b"4")) == 4  # after the other's two
+        assert contents(db) == {b"a": b"1", b"b": b"2", b"c": b"3", b"d": b"4"}

@@ -1,3 +1,5 @@
 """Spark-native ordered multi-version key-value analytics."""
 
-__version__ = "1.23"
+# The version of the interface.
+MAJOR, MINOR = 1, 23
+__version__ = f"{MAJOR}.{MINOR}"

@@ -3,6 +3,9 @@ rest runs on Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,15 +14,23 @@ from pyspark.sql import types as T
 from ..sources import codec
 
 
+def _each(data: pd.Series, many: Callable[[list[bytes]], np.ndarray]) -> pd.Series:
+    """``many`` over the values that aren't null."""
+    out = pd.Series(pd.NA, index=data.index, dtype="Int64")
+    there = data.notna()
+    out[there] = many([bytes(x) for x in data[there]]).astype(np.int64)
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC-32C of binary values (Spark's own ``crc32`` is another one)."""
-    return data.map(lambda x: None if x is None else codec.crc32c(bytes(x))).astype("Int64")
+    return _each(data, codec.crc32c_many)
 
 
 @F.pandas_udf(T.LongType())
 def bloom_hash(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else codec.hash32(bytes(x), codec.BloomPolicy.seed)).astype("Int64")
+    return _each(data, lambda values: codec.hash32_many(values, codec.BloomPolicy.seed))
 
 
 def mask_crc(crc: Column) -> Column:

@@ -146,9 +146,13 @@ def range_sizes(files: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def prune_files(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """Files that may hold one of the keys."""
-    touch = (F.col("key") >= F.col("smallest_key")) & (F.col("key") <= F.col("largest_key"))
-    return files.join(keys.select("key").distinct(), touch, "left_semi")
+    """Files that may hold one of the keys: those whose first key at or after
+    the smallest is at or before the largest. A merge of both in key order, not
+    a comparison of each file with each key. Runs at once."""
+    from .resolve import first_after
+
+    probes = files.select(F.col("smallest_key").alias("target"), *files.columns)
+    return first_after(keys.select("key"), probes).where("found <= largest_key").select(*files.columns)
 
 
 def missing_files(expected: DataFrame, found: DataFrame) -> DataFrame:

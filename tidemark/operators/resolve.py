@@ -132,12 +132,17 @@ def positions(rows: DataFrame, *order: str | Column, name: str = "pos") -> DataF
 
 def seek_each(changes: DataFrame, probes: DataFrame, snapshot: int | None = None) -> DataFrame:
     """``probes`` (target, ...) with the first live key at or after each target
-    (``found``, null past the end), by merging both in key order instead of a
-    non-equi join. Both are sorted into the same ranges; the next key is carried
-    back over ranges from a table with one row a range."""
+    (``found``, null past the end)."""
+    return first_after(state_at(changes, snapshot), probes)
+
+
+def first_after(keys: DataFrame, probes: DataFrame) -> DataFrame:
+    """``probes`` (target, ...) with the first ``key`` at or after each target,
+    by merging both in key order instead of a non-equi join. Both are sorted
+    into the same ranges; the next key is carried back over ranges from a table
+    with one row a range."""
     others = [c for c in probes.columns if c != "target"]
-    state = state_at(changes, snapshot)
-    keys = state.select(F.col("key").alias("at"), F.lit(1).alias("is_key"), *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in others])
+    keys = keys.select(F.col("key").alias("at"), F.lit(1).alias("is_key"), *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in others])
     asked = probes.select(F.col("target").alias("at"), F.lit(0).alias("is_key"), *others)
     rows = _in_ranges(keys.unionByName(asked), "at")
     inside = Window.partitionBy("__range").orderBy(F.col("at").desc(), F.col("is_key").desc()).rowsBetween(Window.unboundedPreceding, 0)

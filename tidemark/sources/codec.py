@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from typing import Protocol
 
 import numpy as np
 
@@ -123,18 +124,93 @@ def hash32(data: bytes, seed: int) -> int:
     return h
 
 
+#: Values of one length from which on columns of bytes are worked on at once.
+_MANY = 8
+
+
+def _by_length(values: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, bytes as rows) of the values of each length."""
+    sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        yield size, at, np.frombuffer(b"".join([values[i] for i in at.tolist()]), dtype=np.uint8).reshape(len(at), size)
+
+
+def hash32_many(values: list[bytes], seed: int) -> np.ndarray:
+    """``hash32`` of many values: values of one length together, a word of each
+    a step."""
+    out = np.empty(len(values), dtype=np.uint32)
+    m = np.uint32(0xC6A4A793)
+    for size, at, rows in _by_length(values):
+        if len(at) < _MANY:
+            out[at] = [hash32(values[i], seed) for i in at.tolist()]
+            continue
+        h = np.full(len(at), seed ^ size * int(m) & 0xFFFFFFFF, dtype=np.uint32)
+        whole = size // 4
+        words = np.ascontiguousarray(rows[:, : 4 * whole]).view("<u4")
+        for k in range(whole):
+            h = (h + words[:, k]) * m
+            h ^= h >> np.uint32(16)
+        if size % 4:
+            rest = np.zeros((len(at), 4), dtype=np.uint8)
+            rest[:, : size % 4] = rows[:, 4 * whole :]
+            h = (h + rest.view("<u4")[:, 0]) * m
+            h ^= h >> np.uint32(24)
+        out[at] = h
+    return out
+
+
+def crc32c_many(values: list[bytes]) -> np.ndarray:
+    """``crc32c`` of many values: values of one length together, a byte of each
+    a step."""
+    table, out = np.array(_TABLES[0], dtype=np.uint32), np.empty(len(values), dtype=np.uint32)
+    for size, at, rows in _by_length(values):
+        if len(at) < _MANY:
+            out[at] = [crc32c(values[i]) for i in at.tolist()]
+            continue
+        c = np.full(len(at), 0xFFFFFFFF, dtype=np.uint32)
+        for k in range(size):
+            c = c >> np.uint32(8) ^ table[(c ^ rows[:, k]) & np.uint32(255)]
+        out[at] = c ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
 # --------------------------------------------------------------------- bloom
+class FilterPolicy(Protocol):
+    """What a table's filters need of a policy. ``create`` makes a filter of a
+    table's keys; ``may_match`` may be wrong only by saying yes."""
+
+    name: str
+
+    def create(self, keys: Iterable[bytes]) -> bytes: ...
+
+    def may_match(self, key: bytes, filter_: bytes) -> bool: ...
+
+
 class BloomPolicy:
     """Membership filter over user keys, ``bits`` a key."""
 
+    name = "bloom"
     seed = 0xBC9F1D34
 
     def __init__(self, bits: int = 10):
         self.bits = bits
         self.probes = min(30, max(1, int(bits * 0.69)))
 
+    def may_match_many(self, keys: list[bytes], filter_: bytes) -> np.ndarray:
+        """``may_match`` of many keys with one filter."""
+        if len(filter_) < 2 or filter_[-1] > 30:
+            return np.full(len(keys), len(filter_) >= 2)
+        h = hash32_many(keys, self.seed)
+        steps = (h >> np.uint32(17)) | (h << np.uint32(15))
+        on = np.unpackbits(np.frombuffer(filter_[:-1], np.uint8), bitorder="little").astype(bool)
+        good = np.ones(len(keys), dtype=bool)
+        for k in range(filter_[-1]):
+            good &= on[(h + np.uint32(k) * steps) % np.uint32(len(on))]
+        return good
+
     def create(self, keys: Iterable[bytes]) -> bytes:
-        hashes = np.array([hash32(k, self.seed) for k in keys], dtype=np.uint32)
+        hashes = hash32_many(list(keys), self.seed)
         size = (max(64, len(hashes) * self.bits) + 7) // 8
         steps = (hashes >> np.uint32(17)) | (hashes << np.uint32(15))
         on = np.zeros(size * 8, dtype=np.uint8)
@@ -155,7 +231,7 @@ class BloomPolicy:
         return all(filter_[i >> 3] >> (i & 7) & 1 for i in at)
 
 
-def filter_block(groups: list[tuple[int, list[bytes]]], policy: BloomPolicy) -> bytes:
+def filter_block(groups: list[tuple[int, list[bytes]]], policy: FilterPolicy) -> bytes:
     """Filters for data blocks (offset, keys): one for each 2 KiB of offsets."""
     at: dict[int, list[bytes]] = {}
     for offset, keys in groups:
@@ -168,7 +244,7 @@ def filter_block(groups: list[tuple[int, list[bytes]]], policy: BloomPolicy) ->
     return bytes(out) + b"".join(map(fixed32, offsets)) + fixed32(len(out)) + bytes([FILTER_BASE_LG])
 
 
-def filter_may_match(block: bytes, offset: int, key: bytes, policy: BloomPolicy) -> bool:
+def filter_may_match(block: bytes, offset: int, key: bytes, policy: FilterPolicy) -> bool:
     if len(block) < 5:
         return True
     start = struct.unpack_from("<I", block, len(block) - 5)[0]
@@ -273,7 +349,7 @@ def read_log(data: bytes, initial_offset: int = 0, report=None) -> Iterator[tupl
     began, resync, expected = -1, initial_offset > 0, None
     for at, kind, size, good, payload in log_fragments(data, first):
         if expected is not None and at != expected and parts and at - expected >= LOG_HEADER:
-            report(sum(map(len, parts)), "partial record without end")
+            report(sum(map(len, parts)), "a record has no last fragment")
             parts = []
         expected = at + LOG_HEADER + size
         if not good:
@@ -290,21 +366,21 @@ def read_log(data: bytes, initial_offset: int = 0, report=None) -> Iterator[tupl
             continue
         if kind in (FULL, FIRST):
             if parts:
-                report(sum(map(len, parts)), "partial record without end")
+                report(sum(map(len, parts)), "a record has no last fragment")
             parts, began = [payload], at
             if kind == FULL:
                 yield at, payload
                 parts, began = [], -1
         elif kind in (MIDDLE, LAST):
             if began < 0:
-                report(size, "missing start of fragmented record")
+                report(size, "a fragment has no first one before it")
                 continue
             parts.append(payload)
             if kind == LAST:
                 yield began, b"".join(parts)
                 parts, began = [], -1
         else:
-            report(size, f"unknown record type {kind}")
+            report(size, f"fragment of kind {kind}")
             parts, began = [], -1
 
 
@@ -449,7 +525,7 @@ def open_block(file: bytes, offset: int, size: int, verify: bool = True) -> byte
 
 
 # -------------------------------------------------------------------- tables
-def write_table(entries: Iterable[tuple[bytes, int, int, bytes]], block_size: int = 4096, restart_interval: int = 16, compression: int = SNAPPY, policy: BloomPolicy | None = None, filter_name: str = "bloom") -> bytes:
+def write_table(entries: Iterable[tuple[bytes, int, int, bytes]], block_size: int = 4096, restart_interval: int = 16, compression: int = SNAPPY, policy: FilterPolicy | None = None) -> bytes:
     """A table file from (key, sequence, op, value) in internal order."""
     from ..functions.keys import short_successor, shortest_separator
 
@@ -489,7 +565,7 @@ def write_table(entries: Iterable[tuple[bytes, int, int, bytes]], block_size: in
     meta = []
     if policy:
         raw = filter_block(groups, policy)
-        meta.append((b"filter." + filter_name.encode(), encode_handle(len(out), len(raw))))
+        meta.append((b"filter." + policy.name.encode(), encode_handle(len(out), len(raw))))
         out += seal_block(raw)
     handles = []
     for part in (meta, index):
@@ -514,14 +590,14 @@ def read_table(file: bytes, verify: bool = True, salvage: bool = False) -> Itera
         yield from rows
 
 
-def table_get(file: bytes, key: bytes, sequence: int = MAX_SEQUENCE, policy: BloomPolicy | None = None, verify: bool = False) -> tuple[int, int, bytes] | None:
+def table_get(file: bytes, key: bytes, sequence: int = MAX_SEQUENCE, policy: FilterPolicy | None = None, verify: bool = False) -> tuple[int, int, bytes] | None:
     """Newest (sequence, op, value) of a key at or below a sequence number: the
     index names one block, the filter may spare it."""
     metaindex, index = decode_footer(file)
     filters = None
     if policy:
         for name, handle in read_block(open_block(file, *metaindex, verify)):
-            if name.startswith(b"filter."):
+            if name == b"filter." + policy.name.encode():
                 filters = open_block(file, *decode_handle(handle)[:2], verify)
     target = internal_order(key, sequence, PUT)
     for last, handle in read_block(open_block(file, *index, verify)):
@@ -566,41 +642,42 @@ def encode_edit(edit: dict) -> bytes:
     return bytes(out)
 
 
-def decode_edit(data: bytes) -> dict:
-    edit: dict = {"compact_pointers": [], "deleted": [], "added": []}
-    scalars = {LOG_NUMBER: "log_number", PREV_LOG_NUMBER: "prev_log_number", NEXT_FILE: "next_file", LAST_SEQUENCE: "last_sequence"}
-    at = 0
+def _level(data: bytes, at: int) -> tuple[int, int]:
+    value, at = get_varint(data, at, 32)
+    if value >= 7:
+        raise Corruption("an edit names a level that isn't there")
+    return value, at
 
-    def level(at: int) -> tuple[int, int]:
-        value, at = get_varint(data, at, 32)
-        if value >= 7:
-            raise Corruption("bad level in catalog edit")
-        return value, at
 
+#: By tag: the edit's entry, whether it is a list, and how its fields are read.
+_FIELDS = {
+    COMPARATOR: ("comparator", False, (get_slice,)),
+    LOG_NUMBER: ("log_number", False, (get_varint,)),
+    PREV_LOG_NUMBER: ("prev_log_number", False, (get_varint,)),
+    NEXT_FILE: ("next_file", False, (get_varint,)),
+    LAST_SEQUENCE: ("last_sequence", False, (get_varint,)),
+    COMPACT_POINTER: ("compact_pointers", True, (_level, get_slice)),
+    DELETED_FILE: ("deleted", True, (_level, get_varint)),
+    NEW_FILE: ("added", True, (_level, get_varint, get_varint, get_slice, get_slice)),
+}
+
+
+def decode_edit(data: bytes) -> dict:
+    edit: dict = {name: [] for name, many, _ in _FIELDS.values() if many}
+    at = 0
     while at < len(data):
         tag, at = get_varint(data, at, 32)
-        if tag == COMPARATOR:
-            name, at = get_slice(data, at)
-            edit["comparator"] = name.decode()
-        elif tag in scalars:
-            edit[scalars[tag]], at = get_varint(data, at)
-        elif tag == COMPACT_POINTER:
-            lv, at = level(at)
-            key, at = get_slice(data, at)
-            edit["compact_pointers"].append((lv, key))
-        elif tag == DELETED_FILE:
-            lv, at = level(at)
-            number, at = get_varint(data, at)
-            edit["deleted"].append((lv, number))
-        elif tag == NEW_FILE:
-            lv, at = level(at)
-            number, at = get_varint(data, at)
-            size, at = get_varint(data, at)
-            smallest, at = get_slice(data, at)
-            largest, at = get_slice(data, at)
-            edit["added"].append((lv, number, size, smallest, largest))
+        if tag not in _FIELDS:
+            raise Corruption(f"an edit has a field {tag}")
+        name, many, readers = _FIELDS[tag]
+        values = []
+        for read in readers:
+            value, at = read(data, at)
+            values.append(value)
+        if many:
+            edit[name].append(tuple(values))
         else:
-            raise Corruption(f"unknown tag {tag} in catalog edit")
+            edit[name] = values[0].decode() if tag == COMPARATOR else values[0]
     return edit
 
 

@@ -32,19 +32,35 @@ def repeated(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 4])
-def test_suffix_dedup(spark, hot):
+def repeated_words(texts, length):
+    """Whether each text holds a string of ``length`` words that also starts
+    elsewhere."""
+    raw = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    seen = defaultdict(int)
+    for w in raw:
+        for i in range(len(w) - length + 1):
+            seen[tuple(w[i : i + length])] += 1
+    return [any(seen[tuple(w[i : i + length])] > 1 for i in range(len(w) - length + 1)) for w in raw]
+
+
+@pytest.mark.parametrize(("hot", "most"), [(2000, 2 << 20), (4, 700)])
+def test_suffix_dedup(spark, hot, most):
     random.seed(7)
     words = ["".join(random.choices("abcdefgh", k=random.randint(1, 8))) for _ in range(200)]
     text = lambda n: " ".join(random.choices(words, k=n))
     passage, long = text(110), text(260)
     docs = [text(random.randint(0, 40)) + passage[random.randint(0, 30) : len(passage) - random.randint(0, 30)] + text(random.randint(0, 40)) for _ in range(40)]
-    docs += ["ab " * 300, "ab " * 300, "x" * 399, "x" * 400, "x" * 401, None, "", long, long, long[:700] + "Z" + long[701:], "é" * 500]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)] + [(7, docs[7], 2)], "doc_id long, text string, spans int").repartition(4)
-    rows = df.select("doc_id", "text").collect()
-    want = sorted(zip([r.doc_id for r in rows], repeated([r.text for r in rows]), strict=True))
-    got = sorted((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.digests(suffix_dedup.cut(df, hot=hot)).collect())
-    assert got == want
+    docs += ["ab " * 300, "ab " * 300, "x" * 399, "x" * 400, "x" * 401, None, "", long, long, long[:700] + "Z" + long[701:], "é" * 500, text(900), " \t".join(passage.upper().split()), "a b " * 26, "no " * 50]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(docs)] + [(7, docs[7], 2, "y"), (None, docs[3], 2, "z")], "doc_id long, text string, spans int, TEXT_ string").withColumnRenamed("TEXT_", "Doc_ID").repartition(4)
+    rows = [(r[0], r[1]) for r in df.collect()]
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    texts = [t for _, t in rows]
+    want = order((d, a, long, some) for (d, _), a, long, some in zip(rows, repeated(texts), repeated_words(texts, 51), repeated_words(texts, 32), strict=True))
+    got = order((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256), r.n_repeats) for r in suffix_dedup.digests(suffix_dedup.cut(df, hot=hot, most=most)).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    for (_, _, n), (_, _, long, some) in zip(got, want, strict=True):
+        assert n > 0 if long else n == 0 if not some else n >= 0
+    assert 5 < sum(x[2] > 0 for x in got) < len(got) - 5
 
 
 def test_suffix_dedup_empty(spark):

@@ -8,31 +8,43 @@ three steps that share no hot group:
    its 32-byte strings; consecutive windows with one name form a region (a
    content-defined parse, so equal windows have equal names wherever they are).
    Equal regions are counted over the corpus, partially before the shuffle. A
-   region that stands twice repeats as a whole; a name that stands once only
-   needs no more work. Left are *borders*: regions with a shared name and
-   unequal bytes, where a repeat begins or ends.
+   region that stands twice repeats as a whole, and one row stands for its
+   copies in the index; a name that stands once only needs no more work. Left are
+   *borders*: regions with a shared name and unequal bytes, where a repeat
+   begins or ends.
 
 2. *Run-length index.* Windows of borders are taken in blocks of ``BLOCK``
    neighbours. A block's windows share a core of LENGTH - BLOCK + 1 bytes, and
-   only blocks with equal cores can have equal windows. In the text of the
-   index a core is one symbol, between the few bytes to its left and right; a
-   window is ``BLOCK`` symbols with the core among them. For the blocks of a
-   task the Burrows-Wheeler transform of this text is built and kept as runs,
-   with suffix array samples and match lengths at the ends of runs. Matching
-   statistics of each block's text are then streamed from the samples: between
-   two sampled positions a match loses one symbol a step. Where a match against
-   another place has BLOCK symbols or more, the window is a repeat.
+   only blocks with equal cores can have equal windows. Equal blocks are one row
+   with a count. In the text of the index a core is one symbol, between the few
+   bytes to its left and right; a window is ``BLOCK`` symbols with the core among
+   them. For the blocks of a task the Burrows-Wheeler transform of this text is
+   built and kept as runs, with suffix array samples and match lengths at the
+   ends of runs. Matching statistics of each block's text are then streamed from
+   the samples: between two sampled positions a match loses one symbol a step.
+   Where a match against another place has BLOCK symbols or more, the window is a
+   repeat.
 
 3. *Cut.* Marked windows go back to their documents.
 
+Passages are counted beside, and never cut: of each document's strings of
+``SHINGLE`` words (lower-case A-Z, split at white space) those are chosen that
+have the smallest hash of any ``PASSAGE - SHINGLE + 1`` neighbours (winnowing).
+``n_repeats`` is how many of the chosen ones are chosen anywhere else too. A
+passage of ``PASSAGE`` words that stands twice always has one, also where it is
+shorter than ``LENGTH`` bytes or differs in white space and case; a document
+without a repeated string of ``SHINGLE`` words has none.
+
 Blocks of a core that very many different texts share are dealt anew as half
 blocks with longer cores (``HOT``), down to single windows, which are equal or
-not; so no core's rows have to meet in one task. Documents are known by a hash
-of id and text; rows are never collected.
+not; so no core's rows have to meet in one task. Documents are known by a
+128-bit hash of id and text, blocks and cores by 128-bit hashes of their bytes;
+rows are never collected.
 
 Defined results: a null text is empty; texts shorter than a string lose
-nothing; repeated rows repeat each other; other columns are ignored; an empty
-table gives no row.
+nothing; a text longer than ``PARSE_BYTES`` is parsed in overlapping pieces,
+with the same result; repeated rows repeat each other; other columns are
+ignored, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -42,30 +54,39 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, forget, mixed, pick, stored, text_bytes
+from .common import Words, blocks, forget, mixed, pick, row_key, stored, text_bytes
 
 LENGTH = 400
 GRAM = 32
 BLOCK = 32
+#: Words of a passage (over fifty), and of the strings that stand for it.
+PASSAGE, SHINGLE = 51, 32
 #: Different blocks of one core beyond which the core is dealt as half blocks.
 HOT = 2_000
 #: Text bytes parsed at once; a parse takes about 60 times as much memory.
 PARSE_BYTES = 2 << 20
 
-REGIONS = "key long, name long, region long, low int, width int, again boolean"
-BLOCKS = "key long, core long, region long, left binary, right binary, n int, starts array<int>"
+REGIONS = "key binary, name long, region binary, low int, width int, again boolean"
+BLOCKS = "key binary, core binary, region binary, left binary, right binary, n int, starts array<int>"
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """64-bit hash of the ``gram`` (a power of two) bytes from each place on."""
-    h, n, p = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-    while n < gram and len(h):
-        h = h[:-n] * np.uint64(p) + h[n:]
-        n, p = 2 * n, p * p & (1 << 64) - 1
-    return mixed(h)
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """64-bit hash of the ``gram`` symbols from each place on: a polynomial, put
+    together of powers of two."""
+    part, n, base = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    out, size = None, 0
+    while True:
+        if gram & n:
+            # what is there comes after this part
+            out = part if out is None else part[: max(0, len(data) - size - n + 1)] * np.uint64(pow(base, size, 1 << 64)) + out[n:]
+            size += n
+        if 2 * n > gram:
+            return mixed(out)
+        part = part[:-n] * np.uint64(pow(base, n, 1 << 64)) + part[n:] if len(part) > n else part[:0]
+        n *= 2
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -83,15 +104,17 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Parsed:
-    """A block of texts, their windows' names, and regions of equal names."""
+    """Texts as symbols one after another, their windows' names, and regions of
+    equal names. ``shift``: where the symbols begin in their (only) document."""
 
-    def __init__(self, texts: pa.Array, length: int):
-        self.data, self.at = text_bytes(texts)
-        self.reach = length - GRAM + 1
-        self.hashes = gram_hashes(self.data)
+    def __init__(self, data: np.ndarray, at: np.ndarray, length: int, gram: int, shift: int = 0):
+        self.data, self.at, self.length, self.shift = data, at, length, shift
+        self.reach = length - gram + 1
+        self.hashes = gram_hashes(self.data, gram)
         names = sliding_min(self.hashes, self.reach)
         doc = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))[: len(names)]
-        start = np.flatnonzero(np.arange(len(names)) + length <= self.at[doc + 1])
+        self.names = np.where(np.arange(len(names)) + length <= self.at[doc + 1], names, 0)
+        start = np.flatnonzero(self.names)
         name, of = names[start], doc[start]
         first = np.ones(len(start), dtype=bool)
         first[1:] = (name[1:] != name[:-1]) | (start[1:] != start[:-1] + 1)
@@ -99,25 +122,39 @@ class Parsed:
         end = np.append(begin[1:], len(start)) - 1 if len(start) else begin
         self.low, self.high, self.name, self.doc = start[begin], start[end], name[begin], of[begin]
 
+    def anchors(self) -> np.ndarray:
+        """Places whose hash names a window around them."""
+        if not len(self.names):
+            return np.zeros(0, np.int64)
+        edge = np.zeros(self.reach - 1, np.uint64)
+        most = ~sliding_min(~np.concatenate([edge, self.names, edge]), self.reach)
+        return np.flatnonzero((most == self.hashes[: len(most)]) & (most > 0))
 
-def _signed(x: list[int]) -> np.ndarray:
-    return np.array(x, dtype=np.uint64).view(np.int64)
 
+def _pieces(data: np.ndarray, at: np.ndarray, length: int, gram: int, most: int) -> Iterator[Parsed]:
+    """The symbols of a block's texts; those of one long text in pieces that
+    overlap by a window but one symbol, so that each window is in one piece."""
+    if len(at) == 2 and len(data) > most:
+        for a in range(0, len(data) - length + 1, most):
+            piece = data[a : a + most + length - 1]
+            yield Parsed(piece, np.array([0, len(piece)]), length, gram, a)
+    else:
+        yield Parsed(data, at, length, gram)
 
-def find_regions(docs: DataFrame, length: int) -> DataFrame:
+
+def find_regions(docs: DataFrame, length: int, most: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, most=PARSE_BYTES):
-            p = Parsed(block.column("text"), length)
-            view = memoryview(np.ascontiguousarray(p.data))
-            region, again = [], []
-            for a, b, v in zip(p.low.tolist(), p.high.tolist(), p.name, strict=True):
-                region.append(xxhash.xxh3_64_intdigest(view[a : b + length]))
-                again.append(np.count_nonzero(p.hashes[a : b + p.reach] == v) > 1)
-            key = block.column("key").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[p.doc]), pa.array(p.name.view(np.int64)), pa.array(_signed(region)), pa.array((p.low - p.at[p.doc]).astype(np.int32)), pa.array((p.high - p.low).astype(np.int32)), pa.array(again, pa.bool_())],
-                names=["key", "name", "region", "low", "width", "again"],
-            )
+        for block in blocks(batches, most=most):
+            for p in _pieces(*text_bytes(block.column("text")), length, GRAM, most):
+                view = memoryview(np.ascontiguousarray(p.data))
+                region, again = [], []
+                for a, b, v in zip(p.low.tolist(), p.high.tolist(), p.name, strict=True):
+                    region.append(xxhash.xxh3_128_digest(view[a : b + length]))
+                    again.append(np.count_nonzero(p.hashes[a : b + p.reach] == v) > 1)
+                yield pa.RecordBatch.from_arrays(
+                    [block.column("key").take(pa.array(p.doc)), pa.array(p.name.view(np.int64)), pa.array(region, pa.binary()), pa.array((p.low - p.at[p.doc] + p.shift).astype(np.int32)), pa.array((p.high - p.low).astype(np.int32)), pa.array(again, pa.bool_())],
+                    names=["key", "name", "region", "low", "width", "again"],
+                )
 
     return docs.mapInArrow(made, REGIONS)
 
@@ -133,50 +170,82 @@ def judge_regions(regions: DataFrame) -> DataFrame:
     return each.join(names, "name", "left").where(whole | F.col("again") | F.col("kinds").isNotNull()).select("region", whole.alias("whole"), F.when(F.col("kinds").isNotNull(), F.col("sample")).alias("sample"))
 
 
-def find_blocks(docs: DataFrame, length: int, block: int) -> DataFrame:
+def find_blocks(docs: DataFrame, length: int, block: int, most: int) -> DataFrame:
     """``docs``: key, text, borders (array of low, width). A row a distinct
     block of a document, with the first windows at which it stands."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, most=PARSE_BYTES):
-            p = Parsed(part.column("text"), length)
-            view = memoryview(np.ascontiguousarray(p.data))
-            wanted = set()
-            for d, x in enumerate(part.column("borders").to_pylist()):
-                wanted.update((d, y["low"]) for y in x)
-            keys, found = part.column("key").to_numpy(), {}
-            lows = (p.low - p.at[p.doc]).tolist()
-            for k, d in enumerate(p.doc.tolist()):
-                if (d, lows[k]) not in wanted:
-                    continue
-                low, high, base, limit = int(p.low[k]), int(p.high[k]), int(p.at[d]), int(p.at[d + 1])
-                after = low
-                for a in (low + np.flatnonzero(p.hashes[low : high + p.reach] == p.name[k])).tolist():
-                    # windows from ``after`` to ``to`` have their leftmost anchor at a
-                    to = min(high, a)
-                    for b in range((a - to) // block, (a - after) // block + 1) if after <= to else ():
-                        core = a - b * block  # the window with the least shift starts here
-                        first = max(base, core - block + 1)
-                        last = min(limit, core + length)
-                        mid = view[core : core - block + 1 + length]
-                        left, right = bytes(view[first:core]), bytes(view[core - block + 1 + length : last])
-                        # the name keeps blocks apart that differ in shift
-                        c = xxhash.xxh3_64_intdigest(mid, seed=b)
-                        found.setdefault((int(keys[d]), c, left, right), []).append(core - base)
-                    after = max(after, a + 1)
-                    if after > high:
-                        break
+        for part in blocks(batches, most=most):
+            wanted = {(d, y["low"]) for d, x in enumerate(part.column("borders").to_pylist()) for y in x}
+            keys, found = part.column("key").to_pylist(), {}
+            for p in _pieces(*text_bytes(part.column("text")), length, GRAM, most):
+                view = memoryview(np.ascontiguousarray(p.data))
+                lows = (p.low - p.at[p.doc] + p.shift).tolist()
+                for k, d in enumerate(p.doc.tolist()):
+                    if (d, lows[k]) not in wanted:
+                        continue
+                    low, high, base, limit = int(p.low[k]), int(p.high[k]), int(p.at[d]), int(p.at[d + 1])
+                    after = low
+                    for a in (low + np.flatnonzero(p.hashes[low : high + p.reach] == p.name[k])).tolist():
+                        # windows from ``after`` to ``to`` have their leftmost anchor at a
+                        to = min(high, a)
+                        for b in range((a - to) // block, (a - after) // block + 1) if after <= to else ():
+                            core = a - b * block  # the window with the least shift starts here
+                            end = core - block + 1 + length
+                            # the seed keeps blocks apart that differ in shift
+                            c = xxhash.xxh3_128_digest(view[core:end], seed=b)
+                            left, right = bytes(view[max(base, core - block + 1) : core]), bytes(view[end : min(limit, core + length)])
+                            found.setdefault((d, c, left, right), []).append(core - base + p.shift)
+                        after = max(after, a + 1)
+                        if after > high:
+                            break
             if found:
-                cols = list(zip(*found, strict=True))
-                region = [xxhash.xxh3_64_intdigest(le + b"|" + r, seed=c) ^ len(le) for _, c, le, r in found]
+                of, cores, lefts, rights = zip(*found, strict=True)
+                region = [xxhash.xxh3_128_digest(b"%d|" % len(x) + c + x + y) for c, x, y in zip(cores, lefts, rights, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(_signed(list(cols[1]))), pa.array(_signed(region)), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array([len(x) for x in found.values()], pa.int32()), pa.array(list(found.values()), pa.list_(pa.int32()))],
+                    [pa.array([keys[d] for d in of], pa.binary()), pa.array(cores, pa.binary()), pa.array(region, pa.binary()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()), pa.array([len(x) for x in found.values()], pa.int32()), pa.array(list(found.values()), pa.list_(pa.int32()))],
                     names=["key", "core", "region", "left", "right", "n", "starts"],
                 )
 
     return docs.mapInArrow(made, BLOCKS)
 
 
+def find_shingles(docs: DataFrame, passage: int, shingle: int, most: int) -> DataFrame:
+    """(key, shingles): hashes of a document's chosen strings of words."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, most=most):
+            words = Words(part.column("text"))
+            hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.vocabulary.to_pylist()), dtype=np.uint64, count=len(words.vocabulary))
+            of, chosen = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            before = np.zeros(0, np.int64)
+            for p in _pieces(hashed[words.codes], words.offsets, passage, shingle, most):
+                at = p.anchors()
+                # a place that two pieces share may be chosen in both
+                at, before = at[~np.isin(at + p.shift, before)], at + p.shift
+                of.append(np.searchsorted(p.at, at, side="right") - 1)
+                chosen.append(p.hashes[at])
+            of, chosen = np.concatenate(of), np.concatenate(chosen)
+            ends = np.append(0, np.cumsum(np.bincount(of, minlength=part.num_rows))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen.view(np.int64)))], names=["key", "shingles"])
+
+    return docs.mapInArrow(made, "key binary, shingles array<long>")
+
+
+def repeats(docs: DataFrame, passage: int = PASSAGE, shingle: int = SHINGLE, most: int = PARSE_BYTES) -> DataFrame:
+    """(key, n_repeats) of documents with a chosen string that is chosen
+    elsewhere too."""
+    found = stored(find_shingles(docs, passage, shingle, most), "shingles")
+    each = found.select("key", F.explode("shingles").alias("shingle"))
+    twice = stored(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "twice")
+    # repeated rows have one key and the same strings: each has its share
+    rows = found.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    sums = each.join(twice, "shingle").groupBy("key").agg(F.count("*").alias("n"))
+    out = stored(sums.join(rows, "key", "left").select("key", (F.col("n") / F.coalesce("rows", F.lit(1))).cast("long").alias("n_repeats")), "repeats")
+    forget(found, twice)
+    return out
+
+
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of an integer text in which
     every row ends with a symbol of its own, with samples at run ends.
@@ -246,9 +315,9 @@ def _common(padded: np.ndarray, a: np.ndarray, b: np.ndarray, longest: int) -> n
     return out
 
 
-def repeated_windows(cores: np.ndarray, lefts: list[bytes], rights: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
+def repeated_windows(cores: list, lefts: list[np.ndarray], rights: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
     """Of distinct (core, left, right) blocks, the shifts whose windows stand in
-    another block: shift j has j bytes to the left of the core. ``sizes`` is
+    another block: shift j has j symbols to the left of the core. ``sizes`` is
     the number of windows of each full block."""
     n = len(cores)
     l_len, r_len = np.array([len(x) for x in lefts]), np.array([len(x) for x in rights])
@@ -258,15 +327,16 @@ def repeated_windows(cores: np.ndarray, lefts: list[bytes], rights: list[bytes],
     at_core, at_end = begin[:-1] + l_len, begin[1:] - 1
     free = np.ones(len(text), dtype=bool)
     free[at_core] = free[at_end] = False
-    ids = np.unique(cores, return_inverse=True)[1]
-    # order of symbols: row ends (each its own), bytes, cores
-    text[free] = n + np.frombuffer(b"".join(x for y in zip(lefts, rights, strict=True) for x in y), dtype=np.uint8).astype(np.int64)
-    text[at_core] = n + 256 + ids
+    known: dict = {}
+    ids = np.array([known.setdefault(c, len(known)) for c in cores])
+    # order of symbols: row ends (each its own), cores, bytes
+    text[free] = 2 * n + np.concatenate([x for y in zip(lefts, rights, strict=True) for x in y]).astype(np.int64)
+    text[at_core] = n + ids
     text[at_end] = np.arange(n)
     found = RunLengthIndex(text, int(total.max()) + 1).matching_statistics()
     out = []
     for k in range(n):
-        # windows start j bytes before the core and are as many symbols as the block is wide
+        # windows start j symbols before the core and are as many symbols as the block is wide
         low = max(0, int(sizes[k]) - 1 - int(r_len[k]))
         j = np.arange(low, int(l_len[k]) + 1)
         out.append(j[found[at_core[k] - j] >= sizes[k]])
@@ -286,7 +356,7 @@ def judge_blocks(found: DataFrame, block: int, hot: int = HOT) -> DataFrame:
         crowd = stored(texts.groupBy("core").agg(F.count("*").alias("rows"), F.max("n").alias("most")).where("rows > 1 or most > 1"), "crowd")
         last = block == 1 or crowd.where(F.col("rows") > hot).isEmpty()
         few = texts.join((crowd if last else crowd.where(F.col("rows") <= hot)).select("core"), "core")
-        judged = stored(few.repartition("core").sortWithinPartitions("core").mapInArrow(_marks, "core long, left binary, right binary, ranges array<struct<low:int,high:int>>"), "judged")
+        judged = stored(few.repartition("core").sortWithinPartitions("core").mapInArrow(_marks, "core binary, left binary, right binary, ranges array<struct<low:int,high:int>>"), "judged")
         moved = F.transform("ranges", lambda r: F.struct((r["low"] + F.col("shift")).alias("low"), (r["high"] + F.col("shift")).alias("high")))
         back = stored(rows.join(judged, ["core", "left", "right"]).select("region", moved.alias("ranges")), "marks")
         marks = back if marks is None else marks.unionByName(back)
@@ -298,37 +368,38 @@ def judge_blocks(found: DataFrame, block: int, hot: int = HOT) -> DataFrame:
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of half the width: windows with many bytes to the left have the
-    nearest left bytes in their core, the others the nearest right bytes."""
+    """Blocks of half the width: windows with many symbols to the left have the
+    nearest left ones in their core, the others the nearest right ones."""
     for batch in batches:
         out = []
         for row in batch.to_pylist():
             half = row["size"] // 2
-            left, right, core = row["left"], row["right"], row["core"] & (1 << 64) - 1
+            left, right, core = row["left"], row["right"], row["core"]
             if len(left) >= half:
-                near = left[len(left) - half :]
-                out.append(row | {"core": xxhash.xxh3_64_intdigest(b"l" + near, seed=core), "left": left[:-half], "right": right[: half - 1], "size": half, "shift": row["shift"] + half})
+                out.append(row | {"core": xxhash.xxh3_128_digest(b"l" + core + left[len(left) - half :]), "left": left[:-half], "right": right[: half - 1], "size": half, "shift": row["shift"] + half})
             if len(right) >= half:
-                near = right[:half]
-                out.append(row | {"core": xxhash.xxh3_64_intdigest(b"r" + near, seed=core), "left": left[max(0, len(left) - half + 1) :], "right": right[half:], "size": half})
-        for x in out:
-            x["core"] -= (x["core"] >> 63) << 64
+                out.append(row | {"core": xxhash.xxh3_128_digest(b"r" + core + right[:half]), "left": left[max(0, len(left) - half + 1) :], "right": right[half:], "size": half})
         yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
 
 #: Blocks of which one index is built at once; a core's blocks stay together.
-INDEX_ROWS = 20_000
+INDEX_ROWS = 10_000
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct blocks, sorted by core -> the repeated windows of each."""
 
-    schema = pa.schema([("core", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("ranges", pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))])
+    schema = pa.schema([("core", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("ranges", pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))])
 
     def judged(rows: list[dict]) -> pa.RecordBatch:
-        got = repeated_windows(np.array([x["core"] for x in rows]), [x["left"] for x in rows], [x["right"] for x in rows], np.array([x["size"] for x in rows]))
+        # a core with one block has nothing to match but its own run
+        alone = [x["core"] != y["core"] and x["core"] != z["core"] for x, y, z in zip(rows, [{"core": None}, *rows], [*rows[1:], {"core": None}], strict=False)]
+        several = [x for x, one in zip(rows, alone, strict=True) if not one]
+        sides = [[np.frombuffer(x[side], np.uint8) for x in several] for side in ("left", "right")]
+        got = iter(repeated_windows([x["core"] for x in several], *sides, np.array([x["size"] for x in several])) if several else [])
         out = []
-        for x, shifts in zip(rows, got, strict=True):
+        for x, one in zip(rows, alone, strict=True):
+            shifts = np.zeros(0, np.int64) if one else next(got)
             if x["n"] > 1:  # the block itself stands twice
                 shifts = np.arange(max(0, x["size"] - 1 - len(x["right"])), len(x["left"]) + 1)
             if len(shifts):
@@ -348,63 +419,73 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield judged(rows)
 
 
-def _key() -> Column:
-    return F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("text"))
-
-
-def mark(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot: int = HOT) -> DataFrame:
-    """key, spans (array of start, stop: removed bytes) of documents that lose
-    any; ``docs`` has key and text."""
-    regions = stored(find_regions(docs, length), "regions")
+def mark(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot: int = HOT, most: int = PARSE_BYTES) -> DataFrame:
+    """key, spans (array of start, stop: bytes that repeat) of documents that
+    have any; ``docs`` has key and text."""
+    regions = stored(find_regions(docs, length, most), "regions")
     verdict = stored(judge_regions(regions), "verdict")
     work = regions.select("key", "region", "low", "width").join(verdict, "region")
     border = ~F.col("whole") | (F.col("key") == F.col("sample"))
     span = F.struct(F.col("low").alias("start"), (F.col("low") + F.col("width") + length).alias("stop"))
-    work = work.groupBy("key").agg(F.collect_list(F.when(F.col("whole"), span)).alias("spans"), F.collect_set(F.when(border, F.struct("low", "width"))).alias("borders"))
-    work = stored(work, "work")
+    # sets: repeated rows have one key
+    work = stored(work.groupBy("key").agg(F.collect_set(F.when(F.col("whole"), span)).alias("spans"), F.collect_set(F.when(border, F.struct("low", "width"))).alias("borders")), "work")
     forget(regions, verdict)
-    raw = stored(find_blocks(docs.join(work.where(F.size("borders") > 0).select("key", "borders"), "key"), length, block), "found")
-    shared = stored(raw.groupBy("core").agg(F.sum("n").alias("uses")).where("uses > 1").select("core"), "cores")
-    found = stored(raw.join(shared, "core").select(*raw.columns), "shared")
-    forget(raw, shared)
+    raw = stored(find_blocks(docs.join(work.where(F.size("borders") > 0).select("key", "borders"), "key"), length, block, most), "found")
+    twice = stored(raw.groupBy("core").agg(F.sum("n").alias("uses")).where("uses > 1").select("core"), "cores")
+    found = stored(raw.join(twice, "core").select(*raw.columns), "shared")
+    forget(raw, twice)
     ranges = stored(judge_blocks(found, block, hot), "ranges")
     # a window that starts j bytes before the core
     spans = F.flatten(F.transform("starts", lambda at: F.transform("ranges", lambda r: F.struct((at - r["high"]).alias("start"), (at - r["low"] + length).alias("stop")))))
-    windows = found.select("key", "region", "starts").join(ranges, "region").select("key", spans.alias("spans"))
-    return windows.unionByName(work.where(F.size("spans") > 0).select("key", "spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    windows = found.groupBy("key", "region").agg(F.flatten(F.collect_set("starts")).alias("starts")).join(ranges, "region").select("key", spans.alias("spans"))
+    whole = work.where(F.size("spans") > 0).select("key", "spans")
+    marks = stored(windows.unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "marks")
+    forget(found, ranges, work)
+    return marks
+
+
+def _merged(spans: pa.Scalar) -> list[list[int]]:
+    """Maximal runs of overlapping or touching spans."""
+    out: list[list[int]] = []
+    if spans.is_valid:
+        s = spans.values
+        for a, b in sorted(set(zip(s.field("start").to_pylist(), s.field("stop").to_pylist(), strict=True))):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+    return out
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start:int,stop:int>>, n_repeats long"
 
 
-def cut(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot: int = HOT) -> DataFrame:
-    """doc_id, text bytes kept and what was removed, for every document."""
-    rows = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", _key())
-    marks = stored(mark(rows, length, block, hot), "marks")
+def cut(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot: int = HOT, most: int = PARSE_BYTES, passage: int = PASSAGE, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text bytes kept, what was removed, and how many strings of words
+    repeat, for every document."""
+    rows = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", row_key("doc_id", "text"))
+    marks = mark(rows, length, block, hot, most).join(repeats(rows, passage, shingle, most), "key", "full")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
             out = []
-            for doc, text, spans in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("spans"), strict=True):
-                raw = text.encode()
-                kept, gone, at, runs = [], [], 0, 0
-                if spans.is_valid:
-                    s = spans.values
-                    for a, b in sorted(set(zip(s.field("start").to_pylist(), s.field("stop").to_pylist(), strict=True))):
-                        if gone and a <= gone[-1][1]:
-                            gone[-1][1] = max(gone[-1][1], b)
-                        else:
-                            gone.append([a, b])
+            for doc, text, spans, n in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("spans"), part.column("n_repeats").to_pylist(), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                kept, at, gone = [], 0, _merged(spans)
                 for a, b in gone:
                     kept.append(raw[at:a])
-                    at, runs = b, runs + 1
+                    at = b
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                out.append((doc, len(raw), len(raw) - len(left), runs, left, [{"start": a, "stop": b} for a, b in gone]))
+                out.append((doc, len(raw), len(raw) - len(left), len(gone), left, [{"start": a, "stop": b} for a, b in gone], n or 0))
             cols = list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), SPANS, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed", "n_repeats"])
 
-    joined = rows.join(marks, "key", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(made, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start:int,stop:int>>")
+    joined = rows.join(marks, "key", "left").select("doc_id", "text", "spans", "n_repeats")
+    return joined.mapInArrow(made, CUT)
 
 
 def digests(cuts: DataFrame) -> DataFrame:
-    return cuts.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cuts.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeats")

@@ -69,6 +69,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each one's result stored for the next."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)  # the next stage's rows are written
+        before = docs
     return docs

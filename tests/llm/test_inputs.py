@@ -136,6 +136,35 @@ def test_word_encoder_equals_the_library():
         at += size
 
 
+def test_word_encoder_takes_plain_words_together(monkeypatch):
+    """Only words that bytes don't settle are looked at one by one, and pieces
+    met in every block are encoded once, however many others come and go."""
+    rng = random.Random(9)
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 50)
+    encoder = tokens.WordEncoder(tokenizer_path())
+    alone, word, model, cut = [], encoder._word, encoder.model, Counter()
+
+    class Model:
+        def tokenize(self, piece):
+            cut[piece] += 1
+            return model.tokenize(piece)
+
+    encoder.model = Model()
+    monkeypatch.setattr(encoder, "_word", lambda x: alone.append(x) or word(x))
+    for block in range(20):
+        rare = ["".join(rng.choices("abcdefghijklmnop", k=12)) for _ in range(100)]
+        texts = ["The river, the Été; 42 don't " + " ".join(rare), None, "", "Ωmega <|endoftext|>x 3×4"]
+        ids, n = encoder.encode(pa.array(texts), 2, "<u2")
+        want = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+    assert set(alone) == {"don't", "Ωmega", "<|endoftext|>x", "3×4"}
+    bytewise = "été".encode().decode("latin-1").translate(encoder.letters)
+    assert [cut[x] for x in ("the", "river", ",", bytewise, "4", "don", "'t")] == [1] * 7
+    for texts in ([None], ["", " \n"], ["中文", "'"]):
+        ids, n = encoder.encode(pa.array(texts, pa.string()), 2, "<u2")
+        assert ids.tolist() == [i for t in texts for i in [*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]]
+
+
 def test_fingerprints_against_plain_fourier_sums():
     for text in ("some words that vary a bit: " + "".join(map(chr, range(33, 127))) * 5, "é" * 100 + "abc" * 77):
         samples = media.payload(text)

@@ -25,21 +25,26 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, NewFile, Words, blocks, map_file, pick, ragged_take, task_count, work_path
+from .common import BLOCK_BYTES, NewFile, Words, blocks, byte_table, map_file, pick, ragged_take, string_array, task_count, text_bytes, work_path
 
 PARTS = "part int, path string, width int, n_docs long, n_tokens long"
 BASES = PARTS + ", base long"
 NULL_ID = -(1 << 63)
-#: Distinct pieces whose ids a worker keeps; beyond, the store is emptied.
+#: Distinct pieces whose ids a worker keeps; beyond, those of the latest blocks
+#: stay as long as they are met again.
 KEPT_PIECES = 100_000
+#: Characters of a piece that is kept; longer ones are rare and encoded anew.
+KEPT_CHARS = 64
 #: Documents of one batch that is read back.
 READ_ROWS = 10_000
 
@@ -50,6 +55,19 @@ _PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
 _IDENTITY = np.arange(256, dtype=np.uint8)
 _IDENTITY[list(b"\t\n\v\f\r")] = 32
+#: Classes of lower-cased bytes: letters (of two bytes those with lead C3),
+#: digits, other printable ASCII, and what a word needs more than its bytes for:
+#: white space, controls, other leads, and the apostrophe, which may open "'s".
+_LETTER, _DIGIT, _OTHER, _HARD = range(4)
+_CLASS = np.full(256, _HARD, np.uint8)
+_CLASS[0x21:0x7F] = _OTHER
+_CLASS[ord("'")] = _HARD
+_CLASS[ord("0") : ord("9") + 1] = _DIGIT
+_CLASS[[*range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), 0xC3]] = _LETTER
+_LOWER = byte_table(b"")
+#: Second bytes behind C3: of capitals, and of the two signs among the letters.
+_CAPITALS = np.isin(np.arange(256), np.arange(0x80, 0x9F))
+_SIGNS = np.isin(np.arange(256), [0x97, 0xB7])
 
 
 def _byte_characters() -> list[str]:
@@ -61,13 +79,14 @@ def _byte_characters() -> list[str]:
 
 
 class WordEncoder:
-    """Ids of whole texts, by way of distinct words.
+    """Ids of whole texts, by way of distinct words and their pieces.
 
     White space is dropped by this kind of tokenizer and never joins pieces,
-    so ids of a text are the ids of its words in order. Each distinct word is
-    cut into pieces once; a piece goes through the library's own model once
-    and its ids are kept. Words with any other character than printable ASCII
-    and Latin-1 letters, and special tokens, take the library's full path.
+    so ids of a text are the ids of its words in order. The distinct words of a
+    block are cut into pieces together, as bytes; a distinct piece goes through
+    the library's own model and its ids are kept. Words with an apostrophe are
+    cut one by one. Words with any other character than printable ASCII and
+    Latin-1 letters, and special tokens, take the library's full path.
     """
 
     def __init__(self, path: str):
@@ -77,7 +96,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = {i: c for i, c in enumerate(_byte_characters())}
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.by_word = self._splits_on_space()
 
     def _splits_on_space(self) -> bool:
@@ -85,46 +105,87 @@ class WordEncoder:
         given whole texts."""
         probes = ("it's A b, 12\nÉté  they'll <x> 7th...", "don't WON'T 'tis we've I'm o'clock's 'S'LL", "a1b2 3.14 x==y (z) \\n //", "ÀÉÎÕÜß ÿ÷× naïve-ÇA", "\t tab\x0bvt \x0c \r\n end", "'' \"q\" `~!@#$%^&*()_+-={}[]|:;<>?,./")
         try:
-            return all(self.tokenizer.encode(x, add_special_tokens=False).ids == [i for w in x.split() for i in self._word(w)] for x in probes)
+            ids, counts = self._by_words(pa.array(probes), 0, "<u4")
+            whole = [[*self.tokenizer.encode(x, add_special_tokens=False).ids, 0] for x in probes]
+            return ids.tolist() == [i for x in whole for i in x] and counts.tolist() == [len(x) for x in whole]
         finally:
             self.known.clear()
 
-    def _word(self, word: str) -> list[int]:
-        known = self.known
+    def _piece(self, piece: str) -> bytes:
+        """A piece's ids, as unsigned 32-bit integers."""
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self.before.get(piece)
+            if ids is None:
+                ids = array("I", [x.id for x in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            if len(piece) <= KEPT_CHARS:
+                self.known[piece] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that has more to it than its bytes."""
         if _PLAIN.fullmatch(word) and not any(x in word for x in self.special):
-            out: list[int] = []
-            for piece in _PIECES.findall(word.lower()):
-                ids = known.get(piece)
-                if ids is None:
-                    ids = known[piece] = [x.id for x in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
-                out += ids
-            return out
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+            return b"".join(map(self._piece, _PIECES.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _words(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, n+1 offsets, and the place of each word in these."""
+        data, offsets = text_bytes(vocabulary)
+        behind = np.concatenate([[False], data[:-1] == 0xC3]) if len(data) else np.zeros(0, bool)
+        lower = _LOWER[data]
+        lower[behind & _CAPITALS[data]] += 0x20
+        kind = _CLASS[lower]
+        kind[behind & _SIGNS[data]] = _HARD
+        hard = np.diff(np.concatenate([[0], np.cumsum(kind == _HARD)])[offsets]) > 0
+        for x in self.special:
+            hard |= pc.match_substring(vocabulary, x).to_numpy(zero_copy_only=False)
+        sizes = np.diff(offsets)
+        if hard.any():
+            own = np.repeat(~hard, sizes)
+            lower, kind, sizes = lower[own], kind[own], sizes[~hard]
+        # a piece starts with its word, where the class changes, and at a digit
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        starts = kind == _DIGIT
+        starts[1:] |= kind[1:] != kind[:-1]
+        starts[ends[:-1]] = True
+        coded = string_array(lower, np.append(np.flatnonzero(starts), len(lower))).dictionary_encode()
+        ids, bounds = _joined([self._piece(x) for x in coded.dictionary.to_numpy(zero_copy_only=False)])
+        ids, lengths = ragged_take(ids, bounds, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        pieces = np.concatenate([[0], np.cumsum(starts)])[ends]
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[pieces]
+        more, more_bounds = _joined([self._word(x) for x in vocabulary.filter(pa.array(hard)).to_pylist()])
+        place = np.empty(len(hard), np.int64)
+        place[~hard] = np.arange(len(sizes))
+        place[hard] = np.arange(len(sizes), len(hard))
+        return np.concatenate([ids, more]), np.concatenate([bounds, len(ids) + more_bounds[1:]]), place
 
     def encode(self, texts: pa.Array, end: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and the count of each text."""
         if not self.by_word:
             lists = [[*x.ids, end] for x in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             return np.fromiter((i for x in lists for i in x), dtype=dtype), np.array([len(x) for x in lists], dtype=np.int64)
+        return self._by_words(texts, end, dtype)
+
+    def _by_words(self, texts: pa.Array, end: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > KEPT_PIECES:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         words = Words(texts, _IDENTITY)
-        flat: list[int] = []
-        ends = [0]
-        for word in words.vocabulary.to_pylist():
-            flat += self._word(word)
-            ends.append(len(flat))
-        flat.append(end)
-        ends.append(len(flat))
+        flat, ends, place = self._words(words.vocabulary)
         # the end id is a further word of every text
         n = len(words.counts)
-        codes = np.insert(words.codes, words.offsets[1:], len(ends) - 2)
-        ids, lengths = ragged_take(np.array(flat, dtype=dtype), np.array(ends, dtype=np.int64), codes)
+        codes = np.insert(place[words.codes], words.offsets[1:], len(place))
+        ids, lengths = ragged_take(np.append(flat, np.uint32(end)).astype(dtype), np.append(ends, len(flat) + 1), codes)
         sums = np.concatenate([[0], np.cumsum(lengths)])
         bounds = sums[words.offsets + np.arange(n + 1)]
         return ids, np.diff(bounds)
 
 
+def _joined(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of unsigned 32-bit ids, one after another, and n+1 offsets."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+    return np.frombuffer(b"".join(lists), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def _pieces(texts: pa.Array, split: bool, most: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array, bool]]:
     """(first row, texts, whether they end their rows): a block as it is, or, of
     one long text, pieces of about ``most`` bytes, cut at white space."""

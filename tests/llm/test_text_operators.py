@@ -133,6 +133,22 @@ def test_query_blocks_merge(spark):
     assert row.n_items == 20 and row.n_hit == 60
 
 
+def test_index_is_written_in_small_row_groups(spark):
+    """Shards have megabytes, and a row group is held as a whole by a task."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(0, 10, 1, 1).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 700000) as text")
+    index = decontam.build_index(docs)
+    files = glob.glob(index._stored_path.removeprefix("file:") + "/*.parquet")
+    groups = [g.num_rows for f in files for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(groups) == index.count() == 10 and max(groups) <= 4
+    tests = spark.createDataFrame([(1, " ".join(["w3"] * 10))], "item_id long, text string")
+    found = decontam.search(index, tests).where("contaminated").collect()
+    assert [(r.doc_id, r.n_hit) for r in found] == [(3, 700_000)]
+
+
 def test_media(spark):
     got = media.digests(media.media_columns(rows(spark, HARD))).collect()
     texts = sorted((t or "" for t in [*HARD, HARD[0], HARD[0]]), key=lambda t: hashlib.sha256(media.payload(t)).hexdigest())

@@ -42,17 +42,19 @@ def work_path(spark: SparkSession, label: str) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, group_rows: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back, so
     that a lost executor costs a re-read and never a re-computation. Once the
     table is written nothing needs the shuffle files behind it; Spark is told
-    to drop them at the end of the write."""
+    to drop them at the end of the write. ``group_rows``: rows of a row group
+    at most. Tables with rows of megabytes need it, as both the writer, which
+    looks at its size after 100 rows only, and the reader hold whole groups."""
     spark = df.sparkSession
     path = work_path(spark, label)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        (df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)

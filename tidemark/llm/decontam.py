@@ -47,6 +47,8 @@ WINDOW = 10
 BLOCK_WORDS = 500_000
 #: Text bytes of a shard; one longer text is a shard of its own.
 SHARD_BYTES = 4 << 20
+#: Shards of a row group, which a task holds as a whole when it writes or reads.
+GROUP_SHARDS = 4
 
 #: Everything in ASCII but digits and letters parts words.
 PARTS_WORDS = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
@@ -78,7 +80,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 names=["doc_ids", "n_words", "terms", "sizes", "positions"],
             )
 
-    return stored(pick(docs, doc_id="long", text="string").mapInArrow(shards, SHARD), "postings")
+    return stored(pick(docs, doc_id="long", text="string").mapInArrow(shards, SHARD), "postings", GROUP_SHARDS)
 
 
 @dataclass

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -100,6 +100,15 @@ class Comparator:
         return key if self.value is None else (self.value(key), key)
 
 
+def ordered_by(rows: DataFrame, order: Callable[[Column], Column]) -> tuple[DataFrame, str]:
+    """``rows`` and the name of a column that they are ordered by: ``key``, or
+    a new one. A sort evaluates an expression anew for both rows of each
+    comparison, so what it sorts by must be a column."""
+    key = F.col("key")
+    by = order(key)
+    return (rows, "key") if by is key else (rows.withColumn("__order", by), "__order")
+
+
 def numeric_suffix(key: Column) -> Column:
     """Orders keys by the number they end with, then by the key."""
     return F.coalesce(F.regexp_extract(key.cast("string"), r"([0-9]{1,18})$", 1).try_cast("long"), F.lit(-1))

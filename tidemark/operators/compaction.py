@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.keys import ordered_by
+
 Order = Callable[[Column], Column]
 
 # Fixed values of level shaping.
@@ -70,9 +72,9 @@ def write_run(changes: DataFrame, path: str, files: int | None = None, bloom_bit
     inside each file, so that row-group statistics and file ranges are
     selective. One key's versions stay in one file. ``bloom_bits``: bits a key
     of the files' Bloom filters; ``page_bytes``: size of a data page."""
-    by = order(F.col("key"))
-    ranged = changes.repartitionByRange(files, by) if files else changes.repartitionByRange(by)
-    writer = ranged.sortWithinPartitions(by, F.col("seq").desc()).write.option("compression", compression)
+    keyed, by = ordered_by(changes, order)
+    ranged = keyed.repartitionByRange(files, by) if files else keyed.repartitionByRange(by)
+    writer = ranged.sortWithinPartitions(by, F.col("seq").desc()).select(*changes.columns).write.option("compression", compression)
     if bloom_bits:
         # the best share of false positives that so many bits a key allow
         writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(0.6185**bloom_bits)).option("parquet.bloom.filter.adaptive.enabled", "true")

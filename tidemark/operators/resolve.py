@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.keys import ordered_by
 from .scratch import stored
 
 
@@ -93,9 +94,8 @@ def in_range(changes: DataFrame, start=None, limit=None, sort_key=None) -> DataF
 def scan(changes: DataFrame, snapshot: int | None = None, start=None, limit=None, reverse: bool = False, sort_key=None) -> DataFrame:
     """Live rows in key order. ``sort_key``: a function from a key column to
     what it is ordered by, bounds included."""
-    state = state_at(in_range(changes, start, limit, sort_key), snapshot)
-    order = sort_key(F.col("key")) if sort_key else F.col("key")
-    return state.orderBy(order.desc() if reverse else order.asc())
+    state, by = ordered_by(state_at(in_range(changes, start, limit, sort_key), snapshot), sort_key or (lambda key: key))
+    return state.orderBy(F.desc(by) if reverse else F.asc(by)).select("key", "value", "seq")
 
 
 def seek_next(changes: DataFrame, target, count: int, snapshot: int | None = None) -> DataFrame:

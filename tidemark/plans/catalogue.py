@@ -264,13 +264,13 @@ def _q30(spark, d):
 @query("q31_reverse_comparator", f"WITH {C_SQL} SELECT row_number() OVER (ORDER BY key DESC) AS pos, key FROM c")
 def _q31(spark, d):
     order = K.COMPARATORS["reverse"].order
-    return resolve.positions(resolve.state_at(view_c(spark, d)), order(F.col("key").cast("binary"))).select("pos", "key")
+    return resolve.positions(*K.ordered_by(resolve.state_at(view_c(spark, d)), lambda key: order(key.cast("binary")))).select("pos", "key")
 
 
 @query("q32_numeric_comparator", "WITH r AS (SELECT 'k'||CAST(o_orderkey AS VARCHAR) AS key, o_orderkey FROM orders) SELECT row_number() OVER (ORDER BY o_orderkey) AS pos, key FROM r")
 def _q32(spark, d):
     plain = view_c(spark, d).withColumn("key", F.concat(F.lit("k"), F.col("key").cast("long").cast("string")))
-    return resolve.positions(resolve.state_at(plain), K.COMPARATORS["numeric_suffix"].order(F.col("key"))).select("pos", "key")
+    return resolve.positions(*K.ordered_by(resolve.state_at(plain), K.COMPARATORS["numeric_suffix"].order)).select("pos", "key")
 
 
 @query("q33_composite_key_order", "SELECT event_type, user_id, dense_rank() OVER (ORDER BY event_type, user_id) AS pos FROM (SELECT DISTINCT event_type, user_id FROM events) t")

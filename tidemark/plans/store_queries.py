@@ -128,7 +128,7 @@ def _q59(spark, d):
     db = load(spark, d, comparator="reverse")
     db.compact_range()
     rows = db.scan(start=b"u000800", limit=b"u000002").select("key")
-    return finish(db, texts(resolve.positions(rows, K.COMPARATORS["reverse"].order(F.col("key"))), "pos", "key"))
+    return finish(db, texts(resolve.positions(*K.ordered_by(rows, K.COMPARATORS["reverse"].order)), "pos", "key"))
 
 
 @query("q60_store_files", f"WITH {S_SQL}, {state_sql('s', 'a')} SELECT count(*) AS entries, min(key) AS first_key, max(key) AS last_key, max(seq) AS newest FROM s")

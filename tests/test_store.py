@@ -302,6 +302,8 @@ def test_frames_survive_compaction_for_a_time(spark, path):
 def test_orders(spark, path, name):
     from pyspark.sql import functions as F
 
+    from pyspark.sql import functions as F
+
     from tidemark.functions import keys as K
 
     K.register_comparator(K.Comparator("by_length", LENGTH, len))
@@ -395,3 +397,26 @@ def test_two_writers_of_one_log(spark, path):
         db.files.create("_log/" + f"{2:020d}.batch", codec.write_log([other.encode(2)]))
         assert db.write(WriteBatch().put(b"d", b"4")) == 4  # after the other's two
         assert contents(db) == {b"a": b"1", b"b": b"2", b"c": b"3", b"d": b"4"}
+
+
+def test_runs_are_cut_by_rows_and_sorted_by_a_column(spark, path, monkeypatch):
+    """Rows that take little in a file aren't one task's, whatever the order of
+    keys, and no sort evaluates that order in its comparisons."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import keys as K
+
+    monkeypatch.setattr(S, "RUN_ROWS", 500, raising=False)
+    rows = spark.range(4000).select(F.format_string("k%05d", F.col("id")).cast("binary").alias("key"), F.lit(1).alias("op"), F.lit(b"v").alias("value"), "id")
+    with S.Store.open(spark, path, S.Options(create_if_missing=True, comparator="reverse")) as db:
+        db.write_df(rows, "id")
+        db.write_df(rows.where("id % 2 = 0").withColumn("value", F.lit(b"w")), "id")
+        db.compact_range()
+        runs = db.version.level(2, db.comparator.of)
+        assert len(runs) > 4 and sum(r.num_entries for r in runs) == 4000 and max(r.num_entries for r in runs) < 2000
+        assert all(a.smallest_key >= a.largest_key > b.smallest_key for a, b in zip(runs, runs[1:], strict=False))
+        scan = db.scan()
+        assert "translate" not in next(x for x in scan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort [" in x)
+        got = [(bytes(r.key), bytes(r.value)) for r in scan.collect()]
+    assert got == [(b"k%05d" % i, b"v" if i % 2 else b"w") for i in reversed(range(4000))]
+    assert K.ordered_by(rows, K.COMPARATORS["bytewise"].order) == (rows, "key")
